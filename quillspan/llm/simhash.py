@@ -83,12 +83,12 @@ def group_keys(fp: np.ndarray, radius: int) -> np.ndarray:
         for c in coordinate[:, i::n].T:
             key = key * 3 + c
         part.append(key)
-    keys = []
-    for number, chosen in enumerate(combinations(range(n), n - radius)):
-        key = np.full(len(fp), number, np.int64)
+    keys, choices = [], list(combinations(range(n), n - radius))
+    for number, chosen in enumerate(choices):
+        key = np.zeros(len(fp), np.int64)
         for i in chosen:
             key = key * 3 ** len(MASKS[i::n]) + part[i]
-        keys.append(key)
+        keys.append(key * len(choices) + number)
     return np.stack(keys, axis=1)
 
 
