@@ -6,19 +6,61 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .editprint import fingerprint_with_edits
+from .extract import extract_main_text
+from .quality import score_quality
 from .simhash import simhash_components
+from .urlrules import PRODUCTION_RULES, judge_urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(PRODUCTION_RULES, "host string, path string, verdict string")
+    return judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
+def op3_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_with_edits(table(spark, sf_dir, "documents"))
+
+
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_url_rules": op2_url_rules,
+    "op3_edit_fingerprints": op3_edit_fingerprints,
+    "op6_main_text": op6_main_text,
     "op7_simhash": op7_simhash,
+    "op10_quality": op10_quality,
 }
 
-ORACLES: dict[str, str] = {}
+_RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in PRODUCTION_RULES)
+
+ORACLES: dict[str, str] = {
+    "op2_url_rules": rf"""
+WITH parts AS (
+  SELECT page_id,
+         translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*(/[^?#]*)', 1), '') AS path
+  FROM pages),
+rules(rh, rp, v) AS (VALUES {_RULES_SQL}),
+fits AS (
+  SELECT page_id, host, path, rh || rp AS rule, v,
+         row_number() OVER (PARTITION BY page_id ORDER BY length(rh || rp) DESC, length(rh) DESC, v DESC) AS r
+  FROM parts JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
+SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.v, 'allow') AS verdict
+FROM parts p LEFT JOIN fits f ON p.page_id = f.page_id AND f.r = 1
+""",
+}
