@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .editprint import fingerprint_with_edits
 from .extract import extract_main_text
 from .quality import score_quality
 from .simhash import simhash_components
+from .substring import drop_repeated
 from .urlrules import PRODUCTION_RULES, judge_urls
 
 
@@ -34,6 +36,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_edit_fingerprints": op3_edit_fingerprints,
     "op6_main_text": op6_main_text,
     "op7_simhash": op7_simhash,
+    "op8_substrings": op8_substrings,
     "op10_quality": op10_quality,
 }
 
