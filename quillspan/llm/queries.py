@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .editprint import fingerprint_with_edits
+from .embeddings import embedding_components
 from .extract import extract_main_text
+from .packing import pack
 from .quality import score_quality
 from .simhash import simhash_components
 from .substring import drop_repeated
@@ -19,6 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file() -> str:
+    """Where the public word-level BPE lies; it is read in place."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
 def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(PRODUCTION_RULES, "host string, path string, verdict string")
     return judge_urls(table(spark, sf_dir, "pages"), rules)
@@ -40,16 +53,22 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_components(table(spark, sf_dir, "embeddings"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
     "op2_url_rules": op2_url_rules,
     "op3_edit_fingerprints": op3_edit_fingerprints,
     "op6_main_text": op6_main_text,
     "op7_simhash": op7_simhash,
     "op8_substrings": op8_substrings,
+    "op9_embeddings": op9_embeddings,
     "op10_quality": op10_quality,
 }
 
