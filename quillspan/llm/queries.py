@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .editprint import fingerprint_with_edits
 from .embeddings import embedding_components
 from .extract import extract_main_text
+from .licences import scan_licences
+from .mixing import mix_sources, mixing_sql
 from .packing import pack
 from .quality import score_quality
 from .simhash import simhash_components
@@ -41,6 +43,18 @@ def op3_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_with_edits(table(spark, sf_dir, "documents"))
 
 
+#: Wanted weights of the sources; all others have weight 1.
+TARGET = {"src0": 2.0, "src1": 3.0, "src2": 0.5, "src3": 1.5}
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"), TARGET)
+
+
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(table(spark, sf_dir, "documents"))
+
+
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
@@ -65,6 +79,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_url_rules": op2_url_rules,
     "op3_edit_fingerprints": op3_edit_fingerprints,
+    "op4_mixing": op4_mixing,
+    "op5_licences": op5_licences,
     "op6_main_text": op6_main_text,
     "op7_simhash": op7_simhash,
     "op8_substrings": op8_substrings,
@@ -75,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in PRODUCTION_RULES)
 
 ORACLES: dict[str, str] = {
+    "op4_mixing": mixing_sql(TARGET, 1.0, 1.0, "mix"),
     "op2_url_rules": rf"""
 WITH parts AS (
   SELECT page_id,

@@ -8,13 +8,17 @@ into a machine-local folder unless the session names no shared folder at all, as
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
+#: (session, path, scope)
+_WRITTEN: list[tuple[SparkSession, str, str]] = []
+_SCOPE: list[str] = []
 _OWN_DIR: list[str] = []
 
 
@@ -33,20 +37,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillspan/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    _WRITTEN.append((spark, path))
+    _WRITTEN.append((spark, path, _SCOPE[-1] if _SCOPE else ""))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, keep: int = 0) -> None:
-    """Delete the tables that ``materialize`` has written for this session, but for the last ``keep``."""
-    own = [x for x in _WRITTEN if x[0] is spark]
-    for x in own[: len(own) - keep]:
+@contextlib.contextmanager
+def scope(name: str) -> Iterator[None]:
+    """Tables written inside belong to ``name``, and ``release(spark, name)`` deletes them."""
+    _SCOPE.append(name)
+    try:
+        yield
+    finally:
+        _SCOPE.pop()
+
+
+def release(spark: SparkSession, name: str, keep: int = 0) -> None:
+    """Delete the tables written in a scope, but for the last ``keep``. No DataFrame that reads them may be in use."""
+    own = [x for x in _WRITTEN if x[0] is spark and x[2] == name]
+    for x in own[: max(0, len(own) - keep)]:
         _WRITTEN.remove(x)
-        try:
-            path = spark._jvm.org.apache.hadoop.fs.Path(x[1])
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path.getParent(), True)
-        except Exception:  # the session may be gone; the folder is the cluster's to clean
-            return
+        path = spark._jvm.org.apache.hadoop.fs.Path(x[1])
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path.getParent(), True)
 
 
 @atexit.register

@@ -13,6 +13,7 @@ copies costs one row in the search, whatever its size.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -22,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .editprint import _mix
 from .shared import connected_components, materialize
 
 #: Disjoint masks of two bits, dealt out by a fixed permutation, and how many of them each group holds.
@@ -210,3 +212,118 @@ def simhash_components(docs: DataFrame, size: int = 3, radius: int = 2, text: st
     cc = connected_components(fingerprint_links(nodes, radius))
     label = nodes.join(cc, nodes.rep == cc.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return own.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Lanes of 64 bits of a wide fingerprint, and the share of pairs at the wanted similarity that keys may miss.
+LANES, MISSED = 8, 0.02
+
+
+def wide_fingerprint(data: bytes | None, size: int) -> bytes:
+    """512 bits over the distinct shingles: each bit is 1 if it is set in over half of them. Zeros without words."""
+    h = np.unique(shingle_hashes(words_of(data), size))
+    counts = np.zeros(64 * LANES, np.int64)
+    for i in range(0, len(h), 1 << 12):
+        part = h[i : i + (1 << 12)]
+        lanes = np.stack([part, *(_mix(part ^ np.uint64(n)) for n in range(1, LANES))], axis=1)
+        bits = np.unpackbits(lanes.view(np.uint8), bitorder="little").reshape(len(part), -1).astype(np.float32)
+        counts += (np.ones(len(part), np.float32) @ bits).astype(np.int64)
+    return np.packbits(counts * 2 > len(h), bitorder="little").tobytes()
+
+
+def differing_share(similarity: float) -> float:
+    """The expected share of differing bits of two equally large sets with this Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def link_wide(fp: np.ndarray, most: int) -> np.ndarray:
+    """For rows of 64-bit lanes the smallest row reachable by at most ``most`` differing bits.
+
+    Stars first: all that are near to a centre join it. Then only rows of different stars are compared, in blocks,
+    so a group of near copies costs its size and a mixed run its square in plain distances.
+    """
+    n = len(fp)
+    low, free, a, b = np.arange(n), np.ones(n, bool), [], []
+    near = lambda i, at: np.bitwise_count(fp[at] ^ fp[i]).sum(axis=-1, dtype=np.int32) <= most
+    for i in range(n):
+        if not free[i]:
+            continue
+        at = np.flatnonzero(free)
+        hit = at[near(i, at)]
+        free[hit] = False
+        low[hit] = i
+        if len(hit) == 1 and n <= 64:  # few rows: compared below
+            continue
+    stars, sizes = np.unique(low, return_counts=True)
+    if len(stars) > 1:
+        main = stars[sizes.argmax()]
+        rest = np.flatnonzero(low != main)
+        for i in rest:  # every pair of different stars has a side outside the largest one
+            other = np.flatnonzero(low != low[i])
+            other = other[(low[other] == main) | (other > i)]
+            hit = other[near(i, other)]
+            a.append(np.full(len(hit), i))
+            b.append(hit)
+    own = np.flatnonzero(low != np.arange(n))
+    a.append(own)
+    b.append(low[own])
+    return forest(np.concatenate(a), np.concatenate(b), n)
+
+
+def near_duplicate_components(docs: DataFrame, size: int = 5, similarity: float = 0.8, slack: float = 0.017, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``(doc_id, component_id)``: texts whose shingle sets are alike at ``similarity`` or above, by wide fingerprints.
+
+    At a Jaccard similarity of 0.8 about 15 % of the bits differ, far beyond what equal groups of masks can promise,
+    so the table's coordinates to single-bit variants are sampled: a bucket key is ``k`` of them, and there are as
+    many keys as leave ``MISSED`` of the pairs at the wanted similarity unmet. ``k`` follows the number of distinct
+    fingerprints (buckets of some 32), so recall is the same at every size. Pairs of a bucket are verified by their
+    distance, at most the expected share of bits plus ``slack`` (one standard deviation). Rows are as in
+    ``simhash_components``; texts without words are alike.
+    """
+    spark = docs.sparkSession
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([wide_fingerprint(x.as_py(), size) for x in b.column(1)], pa.binary())], names=["doc_id", "fp"])
+
+    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t")).mapInArrow(prints, "doc_id long, fp binary")
+    own = materialize(own, "fingerprints")
+    nodes = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
+    n = nodes.count()
+    share = differing_share(similarity)
+    k = max(8, math.ceil(math.log2(max(n, 1))) - 5)
+    tables = math.ceil(math.log(1 / MISSED) / (1 - share) ** k)
+    most = int((share + slack) * 64 * LANES)
+    chosen = np.random.default_rng(11).integers(0, 64 * LANES, (tables, k))
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight = 1 << np.arange(k, dtype=np.int64)
+        for b in batches:
+            fp = b.column(0).to_pylist()
+            bits = np.unpackbits(np.frombuffer(b"".join(fp), np.uint8), bitorder="little").reshape(len(fp), -1)
+            for t in range(tables):
+                yield pa.RecordBatch.from_arrays([pa.array(bits[:, chosen[t]] @ weight * tables + t), b.column(0), b.column(1)], names=["key", "fp", "rep"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, bytes, int]] = []
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if held and held[-1][0] != row[0]:
+                    yield from linked(held)
+                    held = []
+                held.append(row)
+        yield from linked(held)
+
+    def linked(held: list[tuple[int, bytes, int]]) -> Iterator[pa.RecordBatch]:
+        if len(held) < 2:
+            return
+        rep = np.array([x[2] for x in held], dtype=np.int64)
+        low = link_wide(np.frombuffer(b"".join([x[1] for x in held]), np.uint64).reshape(len(held), -1), most)
+        at = np.flatnonzero(low != np.arange(len(low)))
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(rep[at]), pa.array(rep[low[at]])], names=["a", "b"])
+
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * tables // 500_000))
+    dealt = nodes.where("rep is not null").select("fp", "rep").mapInArrow(keys, "key long, fp binary, rep long").repartition(tasks, "key").sortWithinPartitions("key")
+    cc = connected_components(dealt.mapInArrow(run, "a long, b long"))
+    label = nodes.join(cc, nodes.rep == cc.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    return own.join(label, "fp").select("doc_id", "component_id")
