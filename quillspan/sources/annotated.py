@@ -20,7 +20,12 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     lang_code, attrs, head, text``. Files are read whole, one row each; blocks and lines are exploded without a
     shuffle. What is neither a header nor a line is left out; an attribute that is missing is null.
     """
-    files = spark.read.text(paths, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("file"), F.regexp_replace("value", "\r\n", "\n").alias("value"))
+    return parse_files(spark.read.text(paths, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("file"), "value"))
+
+
+def parse_files(files: DataFrame) -> DataFrame:
+    """The same from ``(file, value)``, a row for each whole file."""
+    files = files.select("file", F.regexp_replace("value", "\r\n", "\n").alias("value"))
     blocks = files.select("file", F.posexplode(F.split("value", r"\n[ \t]*\n")).alias("block_ord", "block")).withColumn("rows", F.split(F.ltrim("block", F.lit("\n")), "\n"))
     head = F.col("rows")[0]
     part = lambda key: F.regexp_extract("block_head", rf"(?:^|\s){key}=(\S*)", 1)
