@@ -5,24 +5,28 @@ equal windows have equal anchors. The steps:
 
 1. Count anchors over all documents; those that occur again are marked in a bitmap of fixed size. A clash of bits, or
    a bitmap that fills up, only lets more segments through.
-2. Each occurrence of a marked anchor gives a segment: the words of the windows that picked it. The windows of all
-   segments are counted by (anchor, window) hash, 128 bits: those seen twice are confirmed as recurring.
-3. Segments are dealt to shards by anchor. A shard compiles an Aho-Corasick automaton over words from its confirmed
-   passages (maximal runs of recurring windows) and streams the segments of all documents through it, which
-   locates every occurrence, word for word.
-4. The located ranges go back to their documents.
-
-Shards of a frequent anchor are split by salt: its few passages go to each split, its many segments are dealt out.
-Counting collapses copies by partial aggregation. No step holds all occurrences of anything in one task.
+2. Each occurrence of a marked anchor gives a segment: the words of the windows that picked it. Equal segments (by
+   anchor and a hash of their words, 122 bits) are collapsed by partial aggregation to one text and a count, and the
+   windows of the distinct segments are counted by (anchor, window) hash: those seen twice are confirmed as recurring.
+3. Distinct segments are dealt to shards by anchor. A shard compiles an Aho-Corasick automaton over words from its
+   confirmed passages (maximal runs of recurring windows) and streams its segments through it, which locates every
+   occurrence, word for word.
+4. The located ranges go back to all occurrences of their segments and so to the documents.
+
+Shards of a frequent anchor are split by salt: its passages go to each split, its segments are dealt out. A segment
+that occurs everywhere is one row in the counts and the shards, and AQE can split the join that brings its ranges
+back. No step holds all occurrences of anything in one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import compress
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,19 +37,10 @@ from .shared import materialize
 WINDOW, PHRASE = 35, 8
 #: Bits of the bitmap of recurring anchors: 16 MB, whatever the input.
 BITS = 1 << 27
-#: Segments to a task on average, and those compiled and streamed at a time.
-TASK_SEGMENTS, CHUNK = 60_000, 8_000
+#: Distinct segments to a task on average, those compiled and streamed at a time, and bytes of text hashed at a time.
+TASK_SEGMENTS, CHUNK, SLICE = 30_000, 8_000, 4 << 20
 _B = [pow(0x9E3779B97F4A7C15, m, 1 << 64) for m in range(WINDOW)]
-
-
-class _WordHashes(dict):
-    """Word -> XXH64, kept for the words met last."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+_INVERSE = pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
 
 def _run_hashes(w: np.ndarray, size: int) -> np.ndarray:
@@ -63,27 +58,80 @@ def _run_hashes(w: np.ndarray, size: int) -> np.ndarray:
     return _mix(out[: len(w) - size + 1])
 
 
-class Windows:
-    """Anchors of all windows of a text: for each anchor its hash, the first window that picked it, and how many did."""
-
-    def __init__(self, hashes: _WordHashes) -> None:
-        self.hashes = hashes
-
-    def word_hashes(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-
-    def anchors(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if len(words) < WINDOW:
-            z = np.zeros(0, np.int64)
-            return z, z, z
-        v = _run_hashes(self.word_hashes(words), PHRASE)
-        size = WINDOW - PHRASE + 1
-        pick = np.lib.stride_tricks.sliding_window_view(v, size).argmin(axis=1) + np.arange(len(v) - size + 1)
-        first = np.flatnonzero(np.r_[True, pick[1:] != pick[:-1]])
-        return v[pick[first]].view(np.int64), first, np.diff(np.r_[first, len(pick)])
-
-    def window_hashes(self, words: list[bytes]) -> np.ndarray:
-        return _run_hashes(self.word_hashes(words), WINDOW).view(np.int64)
+class Words:
+    """The words of some texts one after another: ``words``, their numbers ``codes`` and ``hashes``; text i has those
+    from ``offsets[i]`` to ``offsets[i + 1]``."""
+
+    def __init__(self, texts: pa.Array) -> None:
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        words, offsets = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+        offsets -= offsets[0]
+        real = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # white space at an end leaves an empty word
+        if not real.all():
+            words, offsets = words.filter(pa.array(real)), np.r_[0, np.cumsum(real)][offsets]
+        numbered = words.dictionary_encode()
+        self.words, self.offsets = words, offsets
+        self.codes = numbered.indices.to_numpy(zero_copy_only=False)
+        each = [xxhash.xxh64_intdigest(w) for w in numbered.dictionary.to_pylist()]
+        self.hashes = np.array(each, dtype=np.uint64)[self.codes] if each else np.zeros(0, np.uint64)
+
+    def windows(self) -> np.ndarray:
+        """Starts of all windows; none goes beyond its text."""
+        sizes = np.diff(self.offsets)
+        return np.flatnonzero(np.repeat(self.offsets[1:], sizes) - np.arange(self.offsets[-1]) >= WINDOW)
+
+    def window_hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and hashes of all windows."""
+        at = self.windows()
+        return at, _run_hashes(self.hashes, WINDOW)[at].view(np.int64) if len(at) else np.zeros(0, np.int64)
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Anchors of runs of windows that pick the same phrase: its hash, the first window, and how many there are."""
+        at = self.windows()
+        if not len(at):
+            return at, at, at
+        v = _run_hashes(self.hashes, PHRASE)
+        low, pick = v, np.arange(len(v))  # of ties the first: equal windows then pick alike, and no two of them one phrase
+
+        def least(low: np.ndarray, pick: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+            later = low[m:] < low[: len(low) - m]
+            return np.where(later, low[m:], low[: len(low) - m]), np.where(later, pick[m:], pick[: len(low) - m])
+
+        size, m = WINDOW - PHRASE + 1, 1
+        while 2 * m <= size:
+            low, pick = least(low, pick, m)
+            m *= 2
+        pick = least(low, pick, size - m)[1][at]
+        new = np.flatnonzero(np.r_[True, (pick[1:] != pick[:-1]) | (at[1:] != at[:-1] + 1)])
+        return v[pick[new]].view(np.int64), at[new], np.diff(np.r_[new, len(at)])
+
+    def spans(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Hashes of runs of words of any size, from sums of powers."""
+        with np.errstate(over="ignore"):
+            power = np.multiply.accumulate(np.r_[np.uint64(1), np.full(len(self.hashes), _B[1], np.uint64)])
+            back = np.multiply.accumulate(np.r_[np.uint64(1), np.full(len(self.hashes), _INVERSE, np.uint64)])
+            total = np.r_[np.uint64(0), np.cumsum(_mix(self.hashes) * power[:-1], dtype=np.uint64)]
+            return _mix((total[start + size] - total[start]) * back[start] + size.astype(np.uint64)).view(np.int64)
+
+    def joined(self, start: np.ndarray, size: np.ndarray) -> pa.Array:
+        """Texts of runs of words, joined by one space."""
+        ends = np.cumsum(size)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + size, size)
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), self.words.take(pa.array(at))), " ")
+
+
+def _slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, Words]]:
+    """Parts of the batches with the words of their texts, a bounded number of bytes (or one row) at a time."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False))
+        i = 0
+        while i < b.num_rows:
+            j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + SLICE, side="right")))
+            part = b.slice(i, j - i)
+            yield part, Words(part.column(text))
+            i = j
 
 
 def text_key(text: str) -> Column:
@@ -92,12 +140,10 @@ def text_key(text: str) -> Column:
 
 def _anchor_counts(docs: DataFrame, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(_WordHashes())
-        for b in batches:
-            found = [windows.anchors((t.as_py() or b"").split())[0] for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], names=["anchor"])
+        for _, words in _slices(batches, 0):
+            yield pa.RecordBatch.from_arrays([pa.array(words.anchors()[0], pa.int64())], names=["anchor"])
 
-    return docs.select(F.col(text).cast("binary").alias("t")).mapInArrow(run, "anchor long").groupBy("anchor").agg(F.count("*").alias("n"))
+    return docs.select(F.col(text).cast("string").alias("t")).mapInArrow(run, "anchor long").groupBy("anchor").agg(F.count("*").alias("n"))
 
 
 def _bitmap(spark: SparkSession, counts: DataFrame) -> bytes:
@@ -113,51 +159,54 @@ def _bitmap(spark: SparkSession, counts: DataFrame) -> bytes:
     return out.tobytes()
 
 
+SEGMENTS = "anchor long, span long, doc_id long, text_key long, first int, seg string"
+
+
 def _segments(docs: DataFrame, text: str, key: str, bitmap) -> DataFrame:
-    """``(anchor, doc_id, text_key, first, seg)`` for each occurrence of a marked anchor."""
+    """A row for each occurrence of a marked anchor; ``seg`` is null if a row before has the same (anchor, span)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(bitmap.value, dtype=np.uint64)
-        windows = Windows(_WordHashes())
-        for b in batches:
-            cols: list[list] = [[], [], [], [], []]
-            for doc, tk, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                words = (t.as_py() or b"").split()
-                a, first, n = windows.anchors(words)
-                at = a.view(np.uint64) & np.uint64(BITS - 1)
-                for i in np.flatnonzero((bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).tolist():
-                    f = int(first[i])
-                    for c, x in zip(cols, (int(a[i]), doc, tk, f, b" ".join(words[f : f + int(n[i]) + WINDOW - 1]))):
-                        c.append(x)
-                if len(cols[0]) > 20_000:
-                    yield _batch(cols)
-                    cols = [[], [], [], [], []]
-            yield _batch(cols)
-
-    def _batch(c: list[list]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.binary())], names=["anchor", "doc_id", "text_key", "first", "seg"])
-
-    return docs.select(F.col(key).cast("long").alias("doc_id"), text_key(text).alias("text_key"), F.col(text).cast("binary").alias("t")).mapInArrow(
-        run, "anchor long, doc_id long, text_key long, first int, seg binary")
-
-
-def _recurring(segments: DataFrame) -> DataFrame:
+        for part, words in _slices(batches, 2):
+            anchor, start, n = words.anchors()
+            at = anchor.view(np.uint64) & np.uint64(BITS - 1)
+            hit = np.flatnonzero((bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1))
+            anchor, start, size = anchor[hit], start[hit], n[hit] + WINDOW - 1
+            span = words.spans(start, size)
+            row = np.searchsorted(words.offsets, start, side="right") - 1
+            _, new = np.unique(np.stack([anchor, span], axis=1), axis=0, return_index=True) if len(hit) else (None, hit)
+            new = np.sort(new)
+            place = np.full(len(hit), -1, np.int64)
+            place[new] = np.arange(len(new))
+            seg = words.joined(start[new], size[new]).take(pa.array(place, mask=place < 0))
+            ids = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(anchor, pa.int64()), pa.array(span, pa.int64()), part.column(0).take(ids), part.column(1).take(ids), pa.array(start - words.offsets[row], pa.int32()), seg],
+                names=["anchor", "span", "doc_id", "text_key", "first", "seg"])
+
+    return docs.select(F.col(key).cast("long").alias("doc_id"), text_key(text).alias("text_key"), F.col(text).cast("string").alias("t")).mapInArrow(run, SEGMENTS)
+
+
+def _distinct(segments: DataFrame) -> DataFrame:
+    """``(anchor, span, n, seg)``: the distinct segments and how often they occur."""
+    return segments.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.first("seg", ignorenulls=True).alias("seg"))
+
+
+def _recurring(distinct: DataFrame) -> DataFrame:
     """``(anchor, h)`` of windows that start in two places at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(_WordHashes())
-        for b in batches:
-            anchor = b.column(0).to_numpy(zero_copy_only=False)
-            h = [windows.window_hashes(s.as_py().split()) for s in b.column(1)]
-            if h:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(anchor, [len(x) for x in h])), pa.array(np.concatenate(h))], names=["anchor", "h"])
+        for part, words in _slices(batches, 2):
+            at, h = words.window_hashes()
+            row = pa.array(np.searchsorted(words.offsets, at, side="right") - 1)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(row), pa.array(h, pa.int64()), part.column(1).take(row)], names=["anchor", "h", "n"])
 
-    return segments.select("anchor", "seg").mapInArrow(run, "anchor long, h long").groupBy("anchor", "h").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "h")
+    return distinct.select("anchor", "n", "seg").mapInArrow(run, "anchor long, h long, n long").groupBy("anchor", "h").agg(F.sum("n").alias("n")).where("n > 1").select("anchor", "h")
 
 
-def locate(words: list[list[bytes]], passages: set[tuple[bytes, ...]]) -> list[list[tuple[int, int]]]:
+def locate(words: list[list], passages: set[tuple]) -> list[list[tuple[int, int]]]:
     """Word ranges [start, stop) of every occurrence of the passages in each word list, merged where they overlap."""
-    number: dict[bytes, int] = {}
+    number: dict = {}
     automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
     for p in passages:
         automaton.add_word(tuple([number.setdefault(w, len(number)) for w in p]))
@@ -175,41 +224,56 @@ def locate(words: list[list[bytes]], passages: set[tuple[bytes, ...]]) -> list[l
     return out
 
 
+def _located(segments: pa.RecordBatch, known: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Ranges of the passages confirmed by ``known`` (sorted window hashes) in ``(anchor, span, seg)``."""
+    words = Words(segments.column(2))
+    at, h = words.window_hashes()
+    hit = np.zeros(len(words.codes) + 1, bool)
+    if len(known):
+        hit[at] = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+    # windows of one segment are consecutive and those of the next start 35 words on, so runs stay within segments
+    edge = np.flatnonzero(np.diff(np.r_[False, hit]))
+    codes = words.codes.tolist()
+    passages = {tuple(codes[s : e + WINDOW - 1]) for s, e in zip(edge[::2].tolist(), edge[1::2].tolist())}
+    if not passages:
+        return
+    o = words.offsets.tolist()
+    rows = [(i, s, e) for i, found in enumerate(locate([codes[a:b] for a, b in zip(o, o[1:])], passages)) for s, e in found]
+    if rows:
+        i, s, e = zip(*rows)
+        i = pa.array(i)
+        yield pa.RecordBatch.from_arrays([segments.column(0).take(i), segments.column(1).take(i), pa.array(s, pa.int32()), pa.array(e, pa.int32())], names=["anchor", "span", "start", "stop"])
+
+
 def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each part first the recurring windows (kind 0), then the segments (kind 1)."""
-    windows = Windows(_WordHashes())
+    """For each part first the recurring windows (kind 0), then the distinct segments (kind 1)."""
     part: int | None = None
-    known: set[int] = set()
-    held: list[tuple] = []
+    hashes: list[np.ndarray] = []
+    known: np.ndarray | None = None
+    held: list[pa.RecordBatch] = []
 
     def flush() -> Iterator[pa.RecordBatch]:
-        if not held:
-            return
-        words = [x[3].split() for x in held]
-        passages: set[tuple[bytes, ...]] = set()
-        for ws in {x[3]: w for x, w in zip(held, words)}.values():  # equal segments are confirmed once
-            hit = np.fromiter((h in known for h in windows.window_hashes(ws).tolist()), dtype=bool)
-            edge = np.flatnonzero(np.diff(np.r_[False, hit, False]))
-            passages.update(tuple(ws[s : e + WINDOW - 1]) for s, e in zip(edge[::2].tolist(), edge[1::2].tolist()))
-        if passages:
-            rows = [(x[0], x[1], x[2] + s, x[2] + e) for x, found in zip(held, locate(words, passages)) for s, e in found]
-            if rows:
-                c = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int32())], names=["doc_id", "text_key", "start", "stop"])
-        held.clear()
+        nonlocal known
+        if held:
+            if known is None:
+                known = np.sort(np.concatenate(hashes)) if hashes else np.zeros(0, np.int64)
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held.clear()
+            yield from _located(whole, known)
 
     for b in batches:
-        parts, kinds, hs = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        rest = [b.column(i).to_pylist() for i in range(3, 7)]
-        for i in range(len(parts)):
+        parts, kinds = (b.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+        cuts = np.flatnonzero(np.r_[True, (parts[1:] != parts[:-1]) | (kinds[1:] != kinds[:-1])]) if len(parts) else []
+        for i, j in zip(cuts, [*cuts[1:], len(parts)]):
             if parts[i] != part:
                 yield from flush()
-                part, known = int(parts[i]), set()
+                part, hashes, known = int(parts[i]), [], None
             if kinds[i] == 0:
-                known.add(int(hs[i]))
-            else:
-                held.append(tuple(r[i] for r in rest))
-                if len(held) >= CHUNK:
+                hashes.append(b.column(3).slice(i, j - i).to_numpy(zero_copy_only=False))
+                continue
+            for k in range(i, j, CHUNK):
+                held.append(b.slice(k, min(CHUNK, j - k)).select(["anchor", "h", "seg"]))
+                if sum(x.num_rows for x in held) >= CHUNK:
                     yield from flush()
     yield from flush()
 
@@ -219,20 +283,20 @@ def repeated_ranges(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     spark = docs.sparkSession
     bitmap = spark.sparkContext.broadcast(_bitmap(spark, _anchor_counts(docs, text)))
     segments = materialize(_segments(docs, text, key, bitmap), "segments")
-    recurring = materialize(_recurring(segments), "recurring")
-    n = segments.count()
+    distinct = materialize(_distinct(segments), "distinct")
+    recurring = materialize(_recurring(distinct), "recurring")
+    n = distinct.count()
     shards = max(1, -(-n // TASK_SEGMENTS), int(spark.conf.get("spark.sql.shuffle.partitions")))
     shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int")
-    sizes = dict(segments.groupBy(shard.alias("s")).count().collect())  # a row for each shard
+    sizes = dict(distinct.groupBy(shard.alias("s")).count().collect())  # a row for each shard
     splits = [max(1, -(-sizes.get(s, 0) * 2 // (3 * max(1, n // shards + 1)))) for s in range(shards)]  # 1 for a shard of up to 1.5 times the mean
     base = np.r_[0, np.cumsum(splits)].tolist()
     bases, many = (F.expr(f"element_at(array({', '.join(map(str, x))}), shard + 1)") for x in (base[:-1], splits))
-    none = F.lit(None)
-    left = recurring.withColumn("shard", shard).select(
-        F.explode(F.sequence(bases, bases + many - 1)).alias("part"), F.lit(0).alias("kind"), "h", none.cast("long").alias("doc_id"), none.cast("long").alias("text_key"), none.cast("int").alias("first"), none.cast("binary").alias("seg"))
-    right = segments.withColumn("shard", shard).select(
-        (bases + F.pmod(F.xxhash64("doc_id", "first"), many)).cast("int").alias("part"), F.lit(1).alias("kind"), F.lit(0).cast("long").alias("h"), "doc_id", "text_key", "first", "seg")
-    return left.unionByName(right).repartitionById(base[-1], F.col("part")).sortWithinPartitions("part", "kind").mapInArrow(_shard, "doc_id long, text_key long, start int, stop int")
+    left = recurring.withColumn("shard", shard).select(F.explode(F.sequence(bases, bases + many - 1)).alias("part"), F.lit(0).alias("kind"), "anchor", "h", F.lit(None).cast("string").alias("seg"))
+    right = distinct.withColumn("shard", shard).select((bases + F.pmod("span", many)).cast("int").alias("part"), F.lit(1).alias("kind"), "anchor", F.col("span").alias("h"), "seg")
+    dealt = left.unionByName(right).repartitionById(base[-1], F.col("part")).sortWithinPartitions("part", "kind")
+    located = dealt.mapInArrow(_shard, "anchor long, span long, start int, stop int")
+    return segments.select("anchor", "span", "doc_id", "text_key", "first").join(located, ["anchor", "span"]).selectExpr("doc_id", "text_key", "first + start AS start", "first + stop AS stop")
 
 
 def drop_repeated(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -244,7 +308,7 @@ def drop_repeated(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
     (rows with equal id and text recur in one another). Columns named like the three new ones are replaced. Empty in,
     empty out.
     """
-    found = materialize(repeated_ranges(docs, text, key), "ranges").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+    found = repeated_ranges(docs, text, key).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
     own = docs.select([c for c in docs.columns if c not in ("n_words", "n_removed", "kept")])
     own = own.withColumns({"_id": F.coalesce(F.col(key).cast("long"), F.lit(-(2**63) + 1)), "_key": text_key(text)})
     found = found.select(F.coalesce("doc_id", F.lit(-(2**63) + 1)).alias("_id"), F.col("text_key").alias("_key"), F.col("ranges").alias("_ranges"))
@@ -260,7 +324,7 @@ def drop_repeated(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
                 stay = np.ones(len(words), bool)
                 for r in ranges.as_py() or ():
                     stay[r["start"] : r["stop"]] = False
-                left = words if stay.all() else [w for w, s in zip(words, stay.tolist()) if s]
+                left = words if stay.all() else list(compress(words, stay.tolist()))
                 rows.append((len(words), len(words) - len(left), b" ".join(left).decode()))
             c = list(zip(*rows)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.string())], names=[*keep, "n_words", "n_removed", "kept"])
