@@ -36,7 +36,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: plans after it start from files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillspan/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     _WRITTEN.append((spark, path, _SCOPE[-1] if _SCOPE else ""))
     return spark.read.schema(df.schema).parquet(path)
 

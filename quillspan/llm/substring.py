@@ -33,12 +33,13 @@ from pyspark.sql import functions as F
 
 from .editprint import _mix
 from .shared import materialize
+from .words import gather, slices, split_words
 
 WINDOW, PHRASE = 35, 8
 #: Bits of the bitmap of recurring anchors: 16 MB, whatever the input.
 BITS = 1 << 27
-#: Distinct segments to a task on average, those compiled and streamed at a time, and bytes of text hashed at a time.
-TASK_SEGMENTS, CHUNK, SLICE = 30_000, 8_000, 4 << 20
+#: Distinct segments to a task on average, those compiled and streamed at a time, and those a task remembers to have sent.
+TASK_SEGMENTS, CHUNK, SENT = 30_000, 8_000, 500_000
 _B = [pow(0x9E3779B97F4A7C15, m, 1 << 64) for m in range(WINDOW)]
 _INVERSE = pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
@@ -63,12 +64,7 @@ class Words:
     from ``offsets[i]`` to ``offsets[i + 1]``."""
 
     def __init__(self, texts: pa.Array) -> None:
-        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-        words, offsets = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
-        offsets -= offsets[0]
-        real = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # white space at an end leaves an empty word
-        if not real.all():
-            words, offsets = words.filter(pa.array(real)), np.r_[0, np.cumsum(real)][offsets]
+        words, offsets = split_words(texts)
         numbered = words.dictionary_encode()
         self.words, self.offsets = words, offsets
         self.codes = numbered.indices.to_numpy(zero_copy_only=False)
@@ -115,23 +111,13 @@ class Words:
 
     def joined(self, start: np.ndarray, size: np.ndarray) -> pa.Array:
         """Texts of runs of words, joined by one space."""
-        ends = np.cumsum(size)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + size, size)
-        return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), self.words.take(pa.array(at))), " ")
+        taken = self.words.take(pa.array(gather(start, size)))
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), taken), " ")
 
 
 def _slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, Words]]:
-    """Parts of the batches with the words of their texts, a bounded number of bytes (or one row) at a time."""
-    for b in batches:
-        if not b.num_rows:
-            continue
-        sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False))
-        i = 0
-        while i < b.num_rows:
-            j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + SLICE, side="right")))
-            part = b.slice(i, j - i)
-            yield part, Words(part.column(text))
-            i = j
+    for part in slices(batches, text):
+        yield part, Words(part.column(text))
 
 
 def text_key(text: str) -> Column:
@@ -163,10 +149,11 @@ SEGMENTS = "anchor long, span long, doc_id long, text_key long, first int, seg s
 
 
 def _segments(docs: DataFrame, text: str, key: str, bitmap) -> DataFrame:
-    """A row for each occurrence of a marked anchor; ``seg`` is null if a row before has the same (anchor, span)."""
+    """A row for each occurrence of a marked anchor; ``seg`` is null if the task is known to have sent it with (anchor, span) before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(bitmap.value, dtype=np.uint64)
+        sent: set[tuple[int, int]] = set()
         for part, words in _slices(batches, 2):
             anchor, start, n = words.anchors()
             at = anchor.view(np.uint64) & np.uint64(BITS - 1)
@@ -174,8 +161,13 @@ def _segments(docs: DataFrame, text: str, key: str, bitmap) -> DataFrame:
             anchor, start, size = anchor[hit], start[hit], n[hit] + WINDOW - 1
             span = words.spans(start, size)
             row = np.searchsorted(words.offsets, start, side="right") - 1
-            _, new = np.unique(np.stack([anchor, span], axis=1), axis=0, return_index=True) if len(hit) else (None, hit)
-            new = np.sort(new)
+            if len(sent) > SENT:
+                sent = set()
+            new = []
+            for i, k in enumerate(zip(anchor.tolist(), span.tolist())):
+                if k not in sent:
+                    sent.add(k)
+                    new.append(i)
             place = np.full(len(hit), -1, np.int64)
             place[new] = np.arange(len(new))
             seg = words.joined(start[new], size[new]).take(pa.array(place, mask=place < 0))
