@@ -10,57 +10,134 @@ place. No row goes to the driver and no length, however common, goes to one task
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import materialize
+from .words import gather, slices, split_words
 
 CAPACITY, END = 4096, 2
 #: Rows that are numbered together within a length, at most on average.
 NUMBERED = 50_000
+#: Distinct parts of words whose ids a worker remembers, but for those of one slice.
+REMEMBERED = 500_000
 
 
-def tokenised(texts: list[str | None], tokenizer) -> list[np.ndarray]:
-    """Ids of each text and the closing id."""
-    out = []
-    for i in range(0, len(texts), 64):
-        for e in tokenizer.encode_batch([t or "" for t in texts[i : i + 64]], add_special_tokens=False):
-            ids = np.empty(len(e) + 1, np.uint32)
-            ids[:-1] = e.ids
-            ids[-1] = END
-            out.append(ids)
-    return out
+class Encoder:
+    """Ids of texts, each with the closing id.
+
+    The tokenizer lowers case and drops white space, and none of its rules reaches across ASCII white space or from a
+    letter into the punctuation after it. So a text's ids are those of its words, and a word's ids those of its letters
+    and of its closing marks. Each distinct part is encoded once and remembered, in flat arrays of bounded size.
+    """
+
+    def __init__(self, tokenizer) -> None:
+        self.tokenizer = tokenizer
+        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all parts, one after another, and how many each has.
+
+        Parts of lower-case letters have one word end each, so they are encoded as lines of many; a line whose ends
+        do not come out as its words is encoded one by one, like all other parts.
+        """
+        plain = pc.match_substring_regex(pa.array(parts, pa.string()), r"^\p{Ll}+$").to_numpy(zero_copy_only=False)
+        at, rest = np.flatnonzero(plain), [np.flatnonzero(~plain)]
+        ids, order, sizes = [np.zeros(0, np.uint32)], [], []
+        lines = [at[i : i + 200] for i in range(0, len(at), 200)]
+        for line, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join([parts[i] for i in line]) for line in lines], add_special_tokens=False)):
+            got = np.array(e.ids, np.uint32)
+            ends = np.flatnonzero(self.closes[got]) + 1
+            if len(ends) == len(line) and ends[-1] == len(got):
+                ids.append(got)
+                order.append(line)
+                sizes.append(np.diff(ends, prepend=0))
+            else:
+                rest.append(line)
+        alone = np.concatenate(rest)
+        for i in range(0, len(alone), 1000):
+            some = [e.ids for e in self.tokenizer.encode_batch_fast([parts[k] for k in alone[i : i + 1000]], add_special_tokens=False)]
+            ids.append(np.fromiter(chain.from_iterable(some), np.uint32))
+            order.append(alone[i : i + 1000])
+            sizes.append(np.array([len(x) for x in some], np.int64))
+        done, n = np.concatenate([np.zeros(0, np.int64), *order]), np.concatenate([np.zeros(0, np.int64), *sizes])
+        back = np.argsort(done)
+        return np.concatenate(ids)[gather((np.cumsum(n) - n)[back], n[back])], n[back]
+
+    def parts(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of the known parts of each of ``words``, one after another; where each word's begin; how many."""
+        low = pc.if_else(pc.string_is_ascii(words), pc.ascii_lower(words), words)
+        low, offsets = split_words(pc.replace_substring_regex(low, r"(\p{L})([!-&(-/:-@\[-`{-~]+)$", r"\1 \2"))
+        numbered = low.dictionary_encode()
+        distinct = numbered.dictionary.to_pylist()
+        if len(self.known) > REMEMBERED:
+            self.forget()
+        new = [w for w in distinct if w not in self.known]
+        if new:
+            ids, sizes = self.encode(new)
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+            self.ids = np.concatenate([self.ids, ids])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        at = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        return at[numbered.indices.to_numpy(zero_copy_only=False)], offsets[:-1], np.diff(offsets)
+
+    def __call__(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        words, offsets = split_words(texts)
+        numbered = words.dictionary_encode()
+        codes = numbered.indices.to_numpy(zero_copy_only=False)
+        part, start, many = self.parts(numbered.dictionary)
+        of = part[gather(start[codes], many[codes])]  # known parts of all words
+        n = self.ends[of + 1] - self.ends[of]
+        ids = self.ids[gather(self.ends[of], n)]
+        ends = np.r_[0, np.cumsum(n)][np.r_[0, np.cumsum(many[codes])][offsets]]
+        for s, e in zip(ends.tolist(), ends[1:].tolist()):
+            out = np.empty(e - s + 1, np.uint32)
+            out[:-1], out[-1] = ids[s:e], END
+            yield out
+
+
+@lru_cache(maxsize=1)
+def encoder(tokenizer_file: str) -> Encoder:
+    """One for each worker: tasks that follow one another there share what it remembers."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores already
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_file)
+    tokenizer.encode_special_tokens = True
+    return Encoder(tokenizer)
 
 
 def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, with_ids: bool = False, text: str = "text", key: str = "doc_id") -> DataFrame:
     """A row for each piece: ``(doc_id, start, length, ids_crc32, doc_tokens, row)``, and ``ids`` if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores already
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_file)
-        tokenizer.encode_special_tokens = True
-        for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                rows: list[tuple] = []
-                for doc, row, ids in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), tokenised(part.column(2).to_pylist(), tokenizer)):
-                    for s in range(0, len(ids), capacity):
-                        p = ids[s : s + capacity]
-                        data = p.astype("<u4").tobytes()
-                        rows.append((doc, s, len(p), zlib.crc32(data), len(ids), row, *([p.tolist()] if with_ids else [])))
-                c = list(zip(*rows))
-                types = [pa.int64()] * 6 + [pa.list_(pa.int64())] * with_ids
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, types)], names=NAMES[: len(types)])
+        encode = encoder(tokenizer_file)
+        for part in slices(batches, 2):
+            rows: list[tuple] = []
+            for doc, row, ids in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), encode(part.column(2))):
+                for s in range(0, len(ids), capacity):
+                    p = ids[s : s + capacity]
+                    rows.append((doc, s, len(p), zlib.crc32(p.astype("<u4").tobytes()), len(ids), row, *([p.tolist()] if with_ids else [])))
+            c = list(zip(*rows))
+            types = [pa.int64()] * 6 + [pa.list_(pa.int64())] * with_ids
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, types)], names=NAMES[: len(types)])
 
     NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "row", "ids"]
     schema = ", ".join(f"{n} long" for n in NAMES[:6]) + ", ids array<bigint>" * with_ids

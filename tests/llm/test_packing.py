@@ -1,11 +1,12 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quillspan.llm.packing import fullest, pack, places, plan
+from quillspan.llm.packing import Encoder, fullest, pack, places, plan
 from quillspan.llm.queries import op1_packing, tokenizer_file
 
 
@@ -42,6 +43,31 @@ def test_plan_and_places_use_every_piece_once_without_gaps(counts):
         assert end <= 100
 
 
+def own_tokenizer():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_file())
+    t.encode_special_tokens = True
+    return t
+
+
+TOKENIZER = own_tokenizer()
+ENCODER = Encoder(TOKENIZER)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(max_size=40), st.text(alphabet="aSst'\u2019 \n\t\x0b\x0c\r\x1c\x85\xa0\u2003\u0301\u0130\u03a3\u0345e9<|endoftext>\u1100\u1161", max_size=60)), max_size=4))
+def test_ids_by_words_are_the_ids_of_the_whole_text(texts):
+    got = [x.tolist() for x in ENCODER(pa.array(texts, pa.string()))]
+    assert got == [TOKENIZER.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+
+
+def test_ids_by_words_over_a_table(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    got = list(ENCODER(pa.array(texts, pa.string())))
+    assert all(x.tolist() == TOKENIZER.encode(t or "", add_special_tokens=False).ids + [2] for x, t in zip(got, texts))
+
+
 def verify(got, docs):
     from tokenizers import Tokenizer
 
