@@ -16,7 +16,7 @@ from quillspan.llm.mixing import mix_sources
 from quillspan.llm.packing import pack
 from quillspan.llm.quality import keep_good
 from quillspan.llm.queries import TARGET, table, tokenizer_file
-from quillspan.llm.shared import materialize, release, scope
+from quillspan.llm.shared import materialize, release, scope, small_batches
 from quillspan.llm.simhash import near_duplicate_components
 from quillspan.llm.substring import drop_repeated
 
@@ -29,6 +29,7 @@ def stage(f: Stage) -> Stage:
 
     @wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
         release(spark, "pipeline stage")
         with scope("pipeline stage"):
             return f(spark, docs.select(COLUMNS), sf_dir)

@@ -30,7 +30,7 @@ CAPACITY, END = 4096, 2
 #: Rows that are numbered together within a length, at most on average.
 NUMBERED = 50_000
 #: Distinct parts of words whose ids a worker remembers, but for those of one slice.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 
 class Encoder:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import materialize
+from .words import slices
 
 UPPER = bytes(range(65, 91))
 DIGIT = bytes(range(48, 58))
@@ -107,7 +108,7 @@ def document_statistics(docs: DataFrame, text: str = "text", key: str = "doc_id"
     """``(doc_id, x array<double>)`` for every row; only the two columns are read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 1):
             x = [statistics(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
 
@@ -179,9 +180,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, text:
     at, names = docs.columns.index(text), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x = np.array([statistics((t.as_py() or "").encode()) for t in b.column(at)])
-                yield pa.RecordBatch.from_arrays(b.columns, names=names).filter(pa.array(model.score(x) >= threshold))
+        for b in slices(batches, at):
+            x = np.array([statistics((t.as_py() or "").encode()) for t in b.column(at)])
+            yield pa.RecordBatch.from_arrays(b.columns, names=names).filter(pa.array(model.score(x) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -14,12 +14,14 @@ from .licences import scan_licences
 from .mixing import mix_sources, mixing_sql
 from .packing import pack
 from .quality import score_quality
+from .shared import small_batches
 from .simhash import simhash_components
 from .substring import drop_repeated
 from .urlrules import PRODUCTION_RULES, judge_urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

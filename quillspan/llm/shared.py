@@ -32,6 +32,17 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _OWN_DIR[0]
 
 
+#: Rows of whole texts that go to a Python worker at once, where the session has no number of its own.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts can be long: the usual 10,000 rows of them in one Arrow batch would be no bounded memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: plans after it start from files."""
     spark = df.sparkSession

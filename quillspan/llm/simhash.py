@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .editprint import _mix
 from .shared import connected_components, materialize
+from .words import slices
 
 #: Disjoint masks of two bits, dealt out by a fixed permutation, and how many of them each group holds.
 _BITS = np.random.default_rng(7).permutation(64).reshape(32, 2)
@@ -63,7 +64,7 @@ def fingerprints(docs: DataFrame, size: int = 3, text: str = "text", key: str =
     """``(doc_id, fp long)``; only the two columns are read. A null or blank text has fingerprint 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 1):
             fp = np.array([simhash(x.as_py(), size) for x in b.column(1)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
 
@@ -282,7 +283,7 @@ def near_duplicate_components(docs: DataFrame, size: int = 5, similarity: float
     spark = docs.sparkSession
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 1):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([wide_fingerprint(x.as_py(), size) for x in b.column(1)], pa.binary())], names=["doc_id", "fp"])
 
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t")).mapInArrow(prints, "doc_id long, fp binary")

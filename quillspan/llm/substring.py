@@ -39,7 +39,7 @@ WINDOW, PHRASE = 35, 8
 #: Bits of the bitmap of recurring anchors: 16 MB, whatever the input.
 BITS = 1 << 27
 #: Distinct segments to a task on average, those compiled and streamed at a time, and those a task remembers to have sent.
-TASK_SEGMENTS, CHUNK, SENT = 30_000, 8_000, 500_000
+TASK_SEGMENTS, CHUNK, SENT = 30_000, 8_000, 200_000
 _B = [pow(0x9E3779B97F4A7C15, m, 1 << 64) for m in range(WINDOW)]
 _INVERSE = pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
@@ -153,7 +153,7 @@ def _segments(docs: DataFrame, text: str, key: str, bitmap) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(bitmap.value, dtype=np.uint64)
-        sent: set[tuple[int, int]] = set()
+        sent: set[int] = set()
         for part, words in _slices(batches, 2):
             anchor, start, n = words.anchors()
             at = anchor.view(np.uint64) & np.uint64(BITS - 1)
@@ -164,7 +164,7 @@ def _segments(docs: DataFrame, text: str, key: str, bitmap) -> DataFrame:
             if len(sent) > SENT:
                 sent = set()
             new = []
-            for i, k in enumerate(zip(anchor.tolist(), span.tolist())):
+            for i, k in enumerate(_mix(anchor.view(np.uint64) ^ _mix(span.view(np.uint64))).tolist()):
                 if k not in sent:
                     sent.add(k)
                     new.append(i)
@@ -309,7 +309,7 @@ def drop_repeated(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
     keep = [c for c in joined.columns if c != "_ranges"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, at):
             rows: list[tuple[int, int, str]] = []
             for t, ranges in zip(b.column(at), b.column(n)):
                 words = (t.as_py() or "").encode().split()

@@ -1,7 +1,8 @@
-"""Words of many texts at once, in Arrow and numpy."""
+"""Words of many texts at once, in Arrow and numpy, with memory bounded by parts of a few MB."""
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,3 +44,12 @@ def slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBa
             j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + SLICE, side="right")))
             yield b.slice(i, j - i)
             i = j
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: workers stay alive for tasks of other operators."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if trim:
+        trim(0)
