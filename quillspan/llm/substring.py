@@ -11,7 +11,8 @@ equal windows have equal anchors. The steps:
 3. Distinct segments are dealt to shards by anchor. A shard compiles an Aho-Corasick automaton over words from its
    confirmed passages (maximal runs of recurring windows) and streams its segments through it, which locates every
    occurrence, word for word.
-4. The located ranges go back to all occurrences of their segments and so to the documents.
+4. The located ranges go back to the occurrences of their segments and so to the documents. A task that meets a
+   segment again needs no count to know that it recurs: only the first occurrence in each task takes this way.
 
 Shards of a frequent anchor are split by salt: its passages go to each split, its segments are dealt out. A segment
 that occurs everywhere is one row in the counts and the shards, and AQE can split the join that brings its ranges
@@ -145,11 +146,16 @@ def _bitmap(spark: SparkSession, counts: DataFrame) -> bytes:
     return out.tobytes()
 
 
-SEGMENTS = "anchor long, span long, doc_id long, text_key long, first int, seg string"
+SEGMENTS = "anchor long, span long, n long, doc_id long, text_key long, first int, stop int, seg string"
 
 
 def _segments(docs: DataFrame, text: str, key: str, bitmap) -> DataFrame:
-    """A row for each occurrence of a marked anchor; ``seg`` is null if the task is known to have sent it with (anchor, span) before."""
+    """Occurrences of marked anchors, combined where they are found.
+
+    If a task meets an equal segment again, all windows of both recur: the later one's words are a range already
+    (``first``, ``stop``; no anchor) and only its count goes on (``n``; no ``first``). The first one is still open, and
+    carries the segment's text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(bitmap.value, dtype=np.uint64)
@@ -158,30 +164,39 @@ def _segments(docs: DataFrame, text: str, key: str, bitmap) -> DataFrame:
             anchor, start, n = words.anchors()
             at = anchor.view(np.uint64) & np.uint64(BITS - 1)
             hit = np.flatnonzero((bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1))
+            if not len(hit):
+                continue
             anchor, start, size = anchor[hit], start[hit], n[hit] + WINDOW - 1
             span = words.spans(start, size)
             row = np.searchsorted(words.offsets, start, side="right") - 1
+            each, one, of, count = np.unique(_mix(anchor.view(np.uint64) ^ _mix(span.view(np.uint64))), return_index=True, return_inverse=True, return_counts=True)
             if len(sent) > SENT:
                 sent = set()
-            new = []
-            for i, k in enumerate(_mix(anchor.view(np.uint64) ^ _mix(span.view(np.uint64))).tolist()):
-                if k not in sent:
-                    sent.add(k)
-                    new.append(i)
-            place = np.full(len(hit), -1, np.int64)
-            place[new] = np.arange(len(new))
-            seg = words.joined(start[new], size[new]).take(pa.array(place, mask=place < 0))
-            ids = pa.array(row)
+            old = np.fromiter((k in sent for k in each.tolist()), bool, len(each))
+            sent.update(each[~old].tolist())
+            place = np.where(old, -1, np.cumsum(~old) - 1)
+            seg = words.joined(start[one[~old]], size[one[~old]]).take(pa.array(place, mask=old))
+            again = old[of] | (np.arange(len(of)) != one[of])
+            # one row for each distinct segment, open if its first occurrence here is the task's first
+            ids = pa.array(row[one], mask=old)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor, pa.int64()), pa.array(span, pa.int64()), part.column(0).take(ids), part.column(1).take(ids), pa.array(start - words.offsets[row], pa.int32()), seg],
-                names=["anchor", "span", "doc_id", "text_key", "first", "seg"])
-
+                [pa.array(anchor[one]), pa.array(span[one]), pa.array(count, pa.int64()), part.column(0).take(ids), part.column(1).take(ids),
+                 pa.array((start - words.offsets[row])[one], pa.int32(), mask=old), pa.nulls(len(one), pa.int32()), seg], names=NAMES)
+            r, s, e = row[again], start[again], (start + size)[again]
+            if len(r):
+                new = np.r_[True, (r[1:] != r[:-1]) | (s[1:] > e[:-1])]
+                last = np.r_[np.flatnonzero(new)[1:] - 1, len(r) - 1]
+                r, s, e = r[new], s[new] - words.offsets[r[new]], e[last] - words.offsets[r[new]]
+                ids, none = pa.array(r), pa.nulls(len(r), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, none, part.column(0).take(ids), part.column(1).take(ids), pa.array(s, pa.int32()), pa.array(e, pa.int32()), pa.nulls(len(r), pa.string())], names=NAMES)
+
+    NAMES = [f.split()[0] for f in SEGMENTS.split(", ")]
     return docs.select(F.col(key).cast("long").alias("doc_id"), text_key(text).alias("text_key"), F.col(text).cast("string").alias("t")).mapInArrow(run, SEGMENTS)
 
 
 def _distinct(segments: DataFrame) -> DataFrame:
     """``(anchor, span, n, seg)``: the distinct segments and how often they occur."""
-    return segments.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.first("seg", ignorenulls=True).alias("seg"))
+    return segments.where("anchor is not null").groupBy("anchor", "span").agg(F.sum("n").alias("n"), F.first("seg", ignorenulls=True).alias("seg"))
 
 
 def _recurring(distinct: DataFrame) -> DataFrame:
@@ -288,7 +303,9 @@ def repeated_ranges(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     right = distinct.withColumn("shard", shard).select((bases + F.pmod("span", many)).cast("int").alias("part"), F.lit(1).alias("kind"), "anchor", F.col("span").alias("h"), "seg")
     dealt = left.unionByName(right).repartitionById(base[-1], F.col("part")).sortWithinPartitions("part", "kind")
     located = dealt.mapInArrow(_shard, "anchor long, span long, start int, stop int")
-    return segments.select("anchor", "span", "doc_id", "text_key", "first").join(located, ["anchor", "span"]).selectExpr("doc_id", "text_key", "first + start AS start", "first + stop AS stop")
+    open_ = segments.where("anchor is not null and first is not null").select("anchor", "span", "doc_id", "text_key", "first")
+    ranges = open_.join(located, ["anchor", "span"]).selectExpr("doc_id", "text_key", "first + start AS start", "first + stop AS stop")
+    return segments.where("anchor is null").selectExpr("doc_id", "text_key", "first AS start", "stop").unionByName(ranges)
 
 
 def drop_repeated(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

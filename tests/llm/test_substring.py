@@ -50,6 +50,11 @@ def test_drop_repeated_equals_brute_force(spark):
     assert got.columns == ["doc_id", "text", "start", "anchor", "n_words", "n_removed", "kept"]
     assert sorted(map(tuple, got.select("doc_id", "n_words", "n_removed", "kept").collect()), key=str) == brute(rows)
     assert drop_repeated(df.where("false")).count() == 0
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # a task meets segments again in later parts
+    try:
+        assert sorted(map(tuple, drop_repeated(df.coalesce(2)).select("doc_id", "n_words", "n_removed", "kept").collect()), key=str) == brute(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_query_equals_brute_force_on_a_table(spark):
