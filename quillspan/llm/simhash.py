@@ -219,9 +219,8 @@ def simhash_components(docs: DataFrame, size: int = 3, radius: int = 2, text: st
 LANES, MISSED = 8, 0.02
 
 
-def wide_fingerprint(data: bytes | None, size: int) -> bytes:
+def wide_fingerprint(h: np.ndarray) -> bytes:
     """512 bits over the distinct shingles: each bit is 1 if it is set in over half of them. Zeros without words."""
-    h = np.unique(shingle_hashes(words_of(data), size))
     counts = np.zeros(64 * LANES, np.int64)
     for i in range(0, len(h), 1 << 12):
         part = h[i : i + (1 << 12)]
@@ -270,25 +269,150 @@ def link_wide(fp: np.ndarray, most: int) -> np.ndarray:
     return forest(np.concatenate(a), np.concatenate(b), n)
 
 
-def near_duplicate_components(docs: DataFrame, size: int = 5, similarity: float = 0.8, slack: float = 0.017, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``(doc_id, component_id)``: texts whose shingle sets are alike at ``similarity`` or above, by wide fingerprints.
+#: Members of a group of candidates that are compared in one piece, and members that visit all pieces of a larger group.
+PIECE, CENTRES = 128, 8
 
-    At a Jaccard similarity of 0.8 about 15 % of the bits differ, far beyond what equal groups of masks can promise,
-    so the table's coordinates to single-bit variants are sampled: a bucket key is ``k`` of them, and there are as
-    many keys as leave ``MISSED`` of the pairs at the wanted similarity unmet. ``k`` follows the number of distinct
-    fingerprints (buckets of some 32), so recall is the same at every size. Pairs of a bucket are verified by their
-    distance, at most the expected share of bits plus ``slack`` (one standard deviation). Rows are as in
-    ``simhash_components``; texts without words are alike.
+
+class Residents:
+    """Shingle sets of a piece, and how like another set is to each of them (Jaccard, exact)."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.sizes = np.array([len(x) for x in sets])
+        self.ends = np.cumsum(self.sizes)
+        self.known, self.at = np.unique(np.concatenate(sets), return_inverse=True)
+
+    def alike(self, one: np.ndarray, similarity: float) -> np.ndarray:
+        if not len(self.known):
+            return np.flatnonzero(self.sizes == len(one))
+        i = np.minimum(np.searchsorted(self.known, one), len(self.known) - 1)
+        mark = np.zeros(len(self.known), np.int64)
+        mark[i[self.known[i] == one]] = 1
+        total = np.r_[0, np.cumsum(mark[self.at])]
+        both = total[self.ends] - total[self.ends - self.sizes]
+        return np.flatnonzero(both / np.maximum(self.sizes + len(one) - both, 1) >= similarity)
+
+
+def _links_in_pieces(rows: DataFrame, similarity: float, among: bool) -> DataFrame:
+    """Edges ``(a, b)`` of rows ``(component, piece, visitor, node, own, shingles)`` that are alike in a piece.
+
+    Visitors are compared with all residents, and residents with one another if ``among``; of residents known to
+    be linked (equal ``own``) one edge is returned. Visitors are streamed, so a task holds the residents of a piece.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a: list[int] = []
+        b: list[int] = []
+        at, nodes, sets, own, held = None, [], [], [], None
+
+        def settle() -> Residents | None:
+            if not nodes:
+                return None
+            r = Residents(sets)
+            if among and len(nodes) > 1:
+                hits = [r.alike(x, similarity) for x in sets]
+                low = forest(np.repeat(np.arange(len(sets)), [len(h) for h in hits]), np.concatenate(hits), len(sets))
+                for i in np.flatnonzero(low != np.arange(len(low))):
+                    a.append(nodes[i])
+                    b.append(nodes[low[i]])
+                own[:] = [nodes[i] for i in low]
+            return r
+
+        for batch in batches:
+            for component, piece, visitor, node, group, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != (component, piece):
+                    if held is None:
+                        settle()
+                    at, nodes, sets, own, held = (component, piece), [], [], [], None
+                x = np.frombuffer(data, np.uint64)
+                if not visitor:
+                    if not nodes or nodes[-1] != node:  # equal rows have equal nodes
+                        nodes.append(node)
+                        sets.append(x)
+                        own.append(group)
+                    continue
+                held = settle() if held is None else held
+                if held is not None:
+                    for g, to in {own[i]: nodes[i] for i in held.alike(x, similarity)}.items():
+                        if g != group:
+                            a.append(node)
+                            b.append(to)
+            if len(a) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                a.clear()
+                b.clear()
+        if held is None:
+            settle()
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select("component", "piece", "visitor", "node", "own", "shingles").repartition(n, "component", "piece")
+    return dealt.sortWithinPartitions("component", "piece", "visitor", "node").mapInArrow(run, "a long, b long")
+
+
+def verified_components(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, size: int, similarity: float) -> DataFrame:
+    """``(node, component)`` by links of Jaccard ``similarity`` or above between nodes of the same candidate group.
+
+    ``docs`` is ``(doc_id, t, text_key)``, ``nodes`` names a row of it for each node, ``candidates`` is ``(node,
+    component)``. A group is cut into pieces of some PIECE members, compared among themselves and with some members
+    that visit all pieces. What then is not in the largest component of its group visits all pieces too, so that
+    every two members are compared but those already known to be in one component.
+    """
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 3):
+            sets = [np.unique(shingle_hashes(words_of(x.as_py()), size)).tobytes() for x in b.column(3)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sets, pa.binary())], names=["node", "component", "n", "shingles"])
+
+    groups = candidates.groupBy("component").agg(F.count("*").alias("n"))
+    members = materialize(candidates.join(groups, "component").join(nodes.select("node", "first"), "node").select("node", "component", "n", F.col("first.doc_id").alias("id"), F.col("first.text_key").alias("tk")), "members")
+    texts = docs.join(members, (F.col("text_key") == F.col("tk")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "component", "n", "t")
+    sets = materialize(texts.mapInArrow(shingles, "node long, component long, n long, shingles binary"), "shingles")
+    sets = sets.withColumn("pieces", F.expr(f"(n + {PIECE - 1}) div {PIECE}")).withColumn("home", F.expr("pmod(xxhash64(node), pieces)"))
+    everywhere = F.expr("sequence(0L, pieces - 1)")
+    residents = sets.withColumns({"piece": F.col("home"), "visitor": F.lit(False)})
+    visits = lambda df: df.withColumn("piece", F.explode(everywhere)).where("piece <> home").withColumn("visitor", F.lit(True))
+    centres = visits(sets.where(f"pieces > 1 and pmod(xxhash64(node, 1), n) < {CENTRES}"))
+    links = materialize(_links_in_pieces(residents.unionByName(centres).withColumn("own", F.col("node")), similarity, True), "links")
+    linked = connected_components(links)
+    large = members.where(f"n > {PIECE}").select("node", "component").join(linked.withColumnRenamed("component", "own"), "node", "left").select("node", "component", F.coalesce("own", "node").alias("own"))
+    large = materialize(large, "large")
+    main = large.groupBy("component", "own").agg(F.count("*").alias("k")).groupBy("component").agg(F.max(F.struct("k", "own")).alias("m")).select("component", F.col("m.own").alias("main"))
+    rest = large.join(main, "component").where("own <> main").select("node", "component")
+    rest = materialize(rest, "rest")
+    if rest.isEmpty():
+        return linked
+    open_ = rest.select("component").distinct()
+    known = large.select("node", "own")
+    again = residents.join(open_, "component", "left_semi").unionByName(visits(sets.join(rest.select("node"), "node", "left_semi"))).join(known, "node")
+    return connected_components(links.unionByName(_links_in_pieces(again, similarity, False)))
+
+
+def near_duplicate_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, slack: float = 0.048, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """Groups of texts whose sets of shingles have a Jaccard similarity of ``similarity`` or above, directly or by others.
+
+    Returns ``(doc_id, text_key, group)`` for every row and ``(group, first)`` for every group: ``first`` has the
+    ``doc_id`` and ``text_key`` (XXH64 of the text) of its smallest row, rows without an id last. Rows are told apart
+    by their text, not by their id; texts without words are alike.
+
+    Wide fingerprints find candidates. At a similarity of 0.8 about 15 % of the bits differ, far beyond what equal
+    groups of masks can promise, so the table's coordinates to single-bit variants are sampled: a bucket key is ``k``
+    of them, and there are as many keys as leave ``MISSED`` of the pairs at the wanted similarity unmet. ``k`` follows
+    the number of distinct fingerprints (buckets of some 32), so recall is the same at every size. Pairs of a bucket
+    are candidates if their distance is at most the expected share of bits plus ``slack`` (three standard deviations);
+    only exact similarities link them.
     """
     spark = docs.sparkSession
+    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t")).withColumn("text_key", F.xxhash64(F.coalesce("t", F.lit(b""))))
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([wide_fingerprint(x.as_py(), size) for x in b.column(1)], pa.binary())], names=["doc_id", "fp"])
+            sets = [np.unique(shingle_hashes(words_of(x.as_py()), size)) for x in b.column(1)]
+            node = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(node), pa.array([wide_fingerprint(x) for x in sets], pa.binary())], names=["doc_id", "text_key", "node", "fp"])
 
-    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t")).mapInArrow(prints, "doc_id long, fp binary")
-    own = materialize(own, "fingerprints")
-    nodes = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
+    own = materialize(docs.mapInArrow(prints, "doc_id long, text_key long, node long, fp binary"), "fingerprints")
+    nodes = materialize(own.groupBy("node", "fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "text_key")).alias("first")), "nodes")
     n = nodes.count()
     share = differing_share(similarity)
     k = max(8, math.ceil(math.log2(max(n, 1))) - 5)
@@ -324,7 +448,15 @@ def near_duplicate_components(docs: DataFrame, size: int = 5, similarity: float
             yield pa.RecordBatch.from_arrays([pa.array(rep[at]), pa.array(rep[low[at]])], names=["a", "b"])
 
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * tables // 500_000))
-    dealt = nodes.where("rep is not null").select("fp", "rep").mapInArrow(keys, "key long, fp binary, rep long").repartition(tasks, "key").sortWithinPartitions("key")
-    cc = connected_components(dealt.mapInArrow(run, "a long, b long"))
-    label = nodes.join(cc, nodes.rep == cc.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return own.join(label, "fp").select("doc_id", "component_id")
+    dealt = nodes.select("fp", F.col("node").alias("rep")).mapInArrow(keys, "key long, fp binary, rep long").repartition(tasks, "key").sortWithinPartitions("key")
+    candidates = connected_components(dealt.mapInArrow(run, "a long, b long"))
+    cc = verified_components(docs, nodes, candidates, size, similarity)
+    label = nodes.join(cc.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", F.coalesce("component", "node").alias("group"), "first")
+    label = materialize(label, "groups")
+    return own.join(label.select("node", "group"), "node").select("doc_id", "text_key", "group"), label.groupBy("group").agg(F.min("first").alias("first"))
+
+
+def near_duplicate_components(docs: DataFrame, size: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``(doc_id, component_id)`` for every row: the smallest doc_id of its group, null if no row of the group has one."""
+    rows, groups = near_duplicate_groups(docs, size, similarity, text=text, key=key)
+    return rows.join(groups, "group").select("doc_id", F.col("first.doc_id").alias("component_id"))
