@@ -17,7 +17,7 @@ from quillspan.llm.packing import pack
 from quillspan.llm.quality import keep_good
 from quillspan.llm.queries import TARGET, table, tokenizer_file
 from quillspan.llm.shared import materialize, release, scope, small_batches
-from quillspan.llm.simhash import near_duplicate_components
+from quillspan.llm.simhash import near_duplicate_groups
 from quillspan.llm.substring import drop_repeated
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -45,14 +45,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the smallest doc_id stays.
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) one row stays, that with the smallest doc_id.
 
-    Rows without an id stay unless their text's group has one; of rows with the same id and text one stays.
+    Rows are told apart by id and text: rows with the same id and unrelated texts all stay, and rows without an id
+    are grouped like any other and stay only if no row of their group has one.
     """
-    found = near_duplicate_components(docs)
-    stay = found.where("doc_id = component_id").select("doc_id").distinct()
-    lone = docs.where("doc_id is null").dropDuplicates(["text"])
-    return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(COLUMNS).unionByName(lone.select(COLUMNS))
+    _, groups = near_duplicate_groups(docs)
+    # plain equal keys for join and dropDuplicates, so that texts are dealt once
+    key = ["void", "id", "text_key"]
+    row_id = [F.col("doc_id").isNull().alias("void"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), "text_key"]
+    first = groups.select("first.doc_id", "first.text_key").select(row_id)
+    keyed = docs.withColumn("text_key", F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))).select(*COLUMNS, *row_id)
+    return keyed.join(first, key, "left_semi").dropDuplicates(key).select(COLUMNS)
 
 
 @stage

@@ -6,6 +6,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import corpus_pipeline
 from quillspan.llm import simhash as simhash_module
 from quillspan.llm.simhash import forest, group_keys, links_in_runs, near_duplicate_components, simhash, simhash_components
 
@@ -113,3 +114,15 @@ def test_near_duplicates_are_linked_by_exact_similarity_only(spark, monkeypatch,
     joined = {d: c for d, c in got.collect()}
     assert all(dict(want)[joined[d]] == dict(want)[d] for d, _ in rows)  # nothing under the similarity is linked
     assert len({d for d, _ in wrong}) <= 2  # the keys may miss a pair at 0.8
+
+
+def test_the_stage_keeps_one_row_of_each_group(spark, tmp_path):
+    rnd = random.Random(8)
+    a, b, c = (list(near_copies(rnd, 2, 150, [3])) for _ in range(3))
+    unrelated = [next(near_copies(rnd, 1, 60, [1])) for _ in range(4)]
+    rows = [(9, a[0]), (4, a[1]), (None, a[0]), (7, unrelated[0]), (7, unrelated[1]), (7, unrelated[1]), (None, b[0]), (None, b[1]), (None, unrelated[2]), (3, c[0]), (5, unrelated[3]), (5, c[1])]
+    df = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, df, str(tmp_path)).collect()]
+    lone = [x for x in got if x[1] in b]
+    assert len(lone) == 1
+    assert sorted((x for x in got if x not in lone), key=str) == sorted([(4, a[1]), (7, unrelated[0]), (7, unrelated[1]), (None, unrelated[2]), (3, c[0]), (5, unrelated[3])], key=str)
