@@ -2,13 +2,16 @@
 
 Blocks around licence wording are compressed alone and again with each template as a raw zstandard dictionary. The
 relative reduction in size ranks the templates; the best one is confirmed by its exact wording differences, and only
-a block that has nearly all of a template's words, in order, counts as carrying that licence.
+a block that has nearly all of a template's words, in order, counts as carrying that licence. Before that, the lines
+around a block (twice the longest template) are searched for every template most of whose words they have, so that
+wrapped texts and several licences in one place are found.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -78,12 +81,59 @@ class Scanner:
     def __init__(self, templates: list[tuple[str, str]]) -> None:
         self.templates = [(name, WORD.findall(t.lower()), zstandard.ZstdCompressor(level=19, dict_data=zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))) for name, t in templates]
         self.alone = zstandard.ZstdCompressor(level=19)
+        self.counts = [Counter(wording) for _, wording, _ in self.templates]
+        self.reach = 2 * max(len(t) for _, t in templates)
+
+    def scan(self, text: str) -> list[tuple]:
+        """``(start, length, *best)`` of each licence found, and of each block in which none is, by start."""
+        cores = blocks(text)
+        areas: list[list[int]] = []
+        for s, e in cores:
+            s, e = max(0, s - self.reach), min(len(text), e + self.reach)
+            if areas and s <= areas[-1][1]:
+                areas[-1][1] = e
+            else:
+                areas.append([s, e])
+        rows = [r for s, e in areas for r in self.confirmed(text, s, e)]
+        spans = [(r[0], r[0] + r[1]) for r in rows]
+        for s, e in cores:
+            cut = sorted((a, b) for a, b in spans if a < e and b > s)
+            for a, b in zip([s, *(b for _, b in cut)], [*(a for a, _ in cut), e]):
+                if text[a:b].strip() and (not cut or CUES.search(text[a:b].lower())):
+                    row = (a, b - a, *self.best(text[a:b]))
+                    if not cut or row[-1]:
+                        rows.append(row)
+        return sorted(rows, key=lambda r: r[:2])
+
+    def confirmed(self, text: str, start: int, stop: int, share: float = 0.8) -> list[tuple]:
+        """Rows of all templates that the area has, each time the one with the fewest differences; its words are cut out then."""
+        found = [(m.group().lower(), start + m.start(), start + m.end()) for m in WORD.finditer(text[start:stop])]
+        words = [w for w, _, _ in found]
+        rows = []
+        have = Counter(words)
+        left = [i for i, c in enumerate(self.counts) if (c & have).total() >= share * c.total()]
+        while left:
+            hits = []
+            for i in list(left):
+                if (hit := located(self.templates[i][1], words, share)) is None:
+                    left.remove(i)  # cutting words out makes no new match
+                else:
+                    hits.append((len(hit[3]) - hit[2], len(hit[3]) + len(hit[4]), i, hit))
+            if not hits:
+                break
+            _, _, i, (a, b, same, missing, added) = min(hits)
+            s, e = found[a][1], found[b - 1][2]
+            data = text[s:e].lower().encode()
+            alone, given = len(self.alone.compress(data)), len(self.templates[i][2].compress(data))
+            rows.append((s, e - s, self.templates[i][0], alone, given, (alone - given) / alone, same, missing, added, True))
+            words[a:b] = ["\0"] * (b - a)
+        return rows
 
     def best(self, block: str, share: float = 0.8) -> tuple:
         """(licence, size alone, size given, reduction, same words, missing, added, confirmed) of the winner.
 
         Templates are ranked by the reduction (ties: the one listed first); those tied within 10 % of the best are
-        compared word by word, and the one with the fewest differences wins.
+        compared word by word, all of them, and the one with the fewest differences wins.
         """
         data = block.lower().encode()
         alone = len(self.alone.compress(data))
@@ -91,7 +141,7 @@ class Scanner:
         ranked = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
         words = WORD.findall(block.lower())
         found = None
-        for i in [i for i in ranked if alone - sizes[i] >= 0.9 * (alone - sizes[ranked[0]])][:8]:
+        for i in [i for i in ranked if alone - sizes[i] >= 0.9 * (alone - sizes[ranked[0]])]:
             name, wording, _ = self.templates[i]
             same, missing, added = difference(wording, words)
             row = (len(missing) - same, len(missing) + len(added), (name, alone, sizes[i], (alone - sizes[i]) / alone, same, missing, added, same >= share * len(wording) and not decisive(missing, added)))
@@ -100,6 +150,32 @@ class Scanner:
         return found[2]
 
 
+def located(wording: list[str], words: list[str], share: float) -> tuple | None:
+    """``(first, stop, same, missing, added)`` of a confirmed match of the wording in a longer run of words, or None.
+
+    A match has at most half as many words again as the wording; each long enough run that both share is tried.
+    """
+    n, spare = len(wording), len(wording) // 2 + 1
+    tried = list(words)
+    while True:
+        m = difflib.SequenceMatcher(None, wording, tried, autojunk=False).find_longest_match()
+        if m.size < max(min(2, n - 2), n // 25, 1):
+            return None
+        lo, hi = max(0, m.b - m.a - spare), min(len(words), m.b + n - m.a + spare)
+        inner = [x for x in difflib.SequenceMatcher(None, wording, words[lo:hi], autojunk=False).get_matching_blocks() if x.size]
+        for trim in (True, False):
+            run = list(inner)
+            while trim and len(run) > 1 and run[1].b - run[0].b - run[0].size > run[0].size:
+                run.pop(0)
+            while trim and len(run) > 1 and run[-1].b - run[-2].b - run[-2].size > run[-1].size:
+                run.pop()
+            first, stop = lo + run[0].b, lo + run[-1].b + run[-1].size
+            same, missing, added = difference(wording, words[first:stop])
+            if same >= share * n and "\0" not in added and len(added) <= spare and not decisive(missing, added):
+                return first, stop, same, missing, added
+        tried[m.b : m.b + m.size] = ["\0"] * m.size
+
+
 def difference(wording: list[str], words: list[str]) -> tuple[int, list[str], list[str]]:
     """Words of the template that the block has in order, those it lacks, and those it has between them."""
     matches = [m for m in difflib.SequenceMatcher(None, wording, words, autojunk=False).get_matching_blocks() if m.size]
@@ -119,7 +195,7 @@ def decisive(missing: list[str], added: list[str]) -> bool:
 
 
 def scan_licences(docs: DataFrame, templates: list[tuple[str, str]] | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """A row for each candidate block of each document, with its best template and whether that is confirmed.
+    """A row for each licence confirmed in a document, and for each candidate block without one its best template.
 
     Columns: ``doc_id, start, length`` (code points), ``licence, size_alone, size_given, reduction`` (relative),
     ``n_same``, ``missing`` and ``added`` words, ``confirmed``. Whole texts are scanned in one pass without a shuffle;
@@ -135,7 +211,7 @@ def scan_licences(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
             rows = []
             for doc, t in zip(b.column(0).to_pylist(), b.column(1)):
                 text = t.as_py() or ""
-                rows += [(doc, s, e - s, *scanner.best(text[s:e])) for s, e in blocks(text)]
+                rows += [(doc, *r) for r in scanner.scan(text)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 

@@ -1,9 +1,10 @@
 import hashlib
 import math
+import textwrap
 
 import pytest
 
-from quillspan.llm.licences import Scanner, blocks, difference, scan_licences
+from quillspan.llm.licences import TEMPLATES, WORD, Scanner, blocks, difference, scan_licences
 from quillspan.llm.mixing import mix_sources
 
 
@@ -71,3 +72,33 @@ def test_ranking_equals_compressing_all_pairs():
     sizes = [len(zstandard.ZstdCompressor(level=19, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)).compress(data)) for _, t in texts]
     assert got[0] == "b" and got[2] == min(sizes) and got[4:7] == (6, ["five"], ["nine"])
     assert difference(["x"], ["y"]) == (0, ["x"], []) and blocks("ıİ" * 5 + "\nLicensed") == [(11, 19)]
+
+
+def confirmed(text):
+    return [(r[2], text[r[0] : r[0] + r[1]]) for r in Scanner(TEMPLATES).scan(text) if r[-1]]
+
+
+@pytest.mark.parametrize("name,wording", [(n, t) for n, t in TEMPLATES if len(t) > 200])
+@pytest.mark.parametrize("prefix", ["", " * ", "# "])
+def test_wrapped_texts_are_found(name, wording, prefix):
+    lines = textwrap.wrap(wording, 72)
+    text = "some prose of a page\n" * 20 + "\n".join(prefix + x for x in lines) + "\n" + "more prose of a page\n" * 20
+    got = confirmed(text)
+    assert [n for n, _ in got] == [name]
+    assert WORD.findall(got[0][1].replace("\n" + prefix, "\n")) == WORD.findall(wording)
+    parts = f"\n{prefix}\n{prefix}".join(lines)  # blank lines between
+    assert [n for n, _ in confirmed(parts)] == [name]
+
+
+@pytest.mark.parametrize("between", ["\n", " ", "\n\n"])
+def test_every_licence_of_a_block_is_found(between):
+    text = between.join(["Licensed under the Apache License, Version 2.0.", "Released under the MIT License.", "Licensed under CC BY 4.0.", "Released under the MIT License."])
+    assert [n for n, _ in confirmed(text)] == ["Apache-2.0", "MIT", "CC-BY-4.0", "MIT"]
+
+
+def test_all_tied_templates_are_compared():
+    names = "ant bee cat dog elk fox gnu hen ibis jay koi lynx".split()
+    family = [(x, f"This licence of the {x} family lets everyone copy the work and change the work") for x in names]
+    for x in names:
+        text = f"This licence of the {x} family lets everyone copy the work and change the work"
+        assert [r[2] for r in Scanner(family).scan(text)] == [x] and Scanner(family).best(text)[0] == x
