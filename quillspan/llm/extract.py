@@ -2,9 +2,10 @@
 
 The standard library's parser streams events; text between block-level tags is a line. Each line has a text-to-tag
 ratio; the ratios are smoothed with a Gaussian kernel and clustered by a threshold. The clusters select the content
-*region* (the article elements, the main element, or else the span of lines above the threshold), and every line of
-that region is kept, short ones too, but for elements that are never part of an article: menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles and reader comments.
+*region*: the article elements, or else the main element, if that holds at least half of the clusters' mass, and else
+the span of lines above the threshold. Every line of that region is kept, short ones too, but for elements that are
+never part of an article: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
+comments. An element that only its class, id or role marks as such is kept if the page's text is in it.
 """
 
 from __future__ import annotations
@@ -29,35 +30,82 @@ MARKED = frozenset(
     "banner cookie cookies consent gdpr notice notices alert popup modal overlay comment comments commentlist disqus respond reply replies share sharing social breadcrumb breadcrumbs pagination pager related recommended newsletter "
     "subscribe subscription signup login search widget toolbar skip copyright complementary contentinfo teaser tagcloud paywall".split()
 )
+#: Words that may stand beside those in a compound (``comment-list``); with any other word a compound marks nothing (``has-sidebar``).
+BESIDE = frozenset(
+    "list lists item items area section box block wrap wrapper container inner outer bar links link left right top bottom main site primary secondary global form forms button buttons icon icons post posts article articles stories story slot unit row "
+    "text title thread trail message policy center middle".split()
+)
+#: Marked for what they are, however long.
+READERS = frozenset("comment comments commentlist disqus respond reply replies related recommended teaser cookie cookies consent gdpr".split())
 LAYOUT = frozenset(("html", "body", "main", "article"))
 P_ENDS = BLOCK - {"option", "legend", "summary"}
 SPLIT = re.compile(r"[^a-z]+")
 
 
+def marks(value: str) -> set[str]:
+    """Marked words of those tokens of a class, id or role that consist of them and words that may stand beside them."""
+    out: set[str] = set()
+    for token in value.lower().split():
+        parts = {x for x in SPLIT.split(token) if len(x) > 1}
+        if parts & MARKED and parts <= MARKED | BESIDE:
+            out |= parts & MARKED
+    return out
+
+
 class Lines(HTMLParser):
-    """Collects ``lines``: (text, tags since the line before, number of the article or main element it is in)."""
+    """Collects ``raw``: (parts of a line, tags since the line before, number of the article or main element it is in).
+
+    A part is a text and the marked elements it is in; ``lines`` has the lines without what those hide.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int]] = []
-        self.open: list[tuple[str, bool]] = []  # name, does it hide its content
+        self.raw: list[tuple[list[tuple[str, tuple[int, ...]]], int, int]] = []
+        self.open: list[tuple[str, bool, bool]] = []  # name, does it hide its content, is it marked
         self.hidden = 0
-        self.parts: list[str] = []
+        self.marked: tuple[int, ...] = ()  # open marked elements
+        self.inside: list[bool] = []  # of each marked element: is it sure to hide its content
+        self.around: set[int] = set()  # marked elements with an article or main element
+        self.free: set[int] = {0}  # article and main elements outside marked ones
+        self.outer: list[int] = [0]
+        self.parts: list[tuple[str, tuple[int, ...]]] = []
         self.tags = 0
         self.regions: list[int] = []
         self.kinds: list[str] = ["body"]
 
     def flush(self) -> None:
         if self.parts:
-            text = " ".join("".join(self.parts).split())
+            self.raw.append((self.parts, self.tags, self.regions[-1] if self.regions else 0))
             self.parts = []
+            self.tags = 0
+
+    def lines(self) -> list[tuple[str, int, int]]:
+        """A marked element outside articles is shown if half of the text is in it (a quarter, with an article) and no unmarked article has text."""
+        total, mass, shown = 0, [0] * len(self.inside), set()
+        free = False
+        for parts, _, region in self.raw:
+            for text, within in parts:
+                n = len("".join(text.split()))
+                total += n
+                free |= bool(n and region and region in self.free and not within)
+                for m in within:
+                    mass[m] += n
+        if not free:
+            shown = {m for m, n in enumerate(mass) if not self.inside[m] and n > total * (0.25 if m in self.around else 0.5)}
+        out, tags = [], 0
+        for parts, k, region in self.raw:
+            tags += k
+            text = " ".join("".join(t for t, within in parts if shown.issuperset(within)).split())
             if text:
-                self.lines.append((text, self.tags, self.regions[-1] if self.regions else 0))
-                self.tags = 0
+                out.append((text, tags, region))
+                tags = 0
+        return out
 
     def pop(self, at: int) -> None:
-        for name, hides in self.open[at:]:
+        for name, hides, marked in self.open[at:]:
             self.hidden -= hides
+            if marked:
+                self.marked = self.marked[:-1]
             if name in ("article", "main") and self.regions:
                 self.regions.pop()
         del self.open[at:]
@@ -66,7 +114,7 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             if tag == "br":
-                self.parts.append(" ")
+                self.parts.append((" ", self.marked))
             elif tag == "hr":
                 self.flush()
             return
@@ -76,18 +124,28 @@ class Lines(HTMLParser):
                 self.close_implied("p", ("article", "aside", "blockquote", "body", "button", "div", "figure", "li", "main", "section", "table", "td"))
             if tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
                 self.close_implied(tag, ("ul", "ol", "dl", "table", "menu", "select"))
-        hides = tag in NEVER
+        hides, found = tag in NEVER, set()
         if attrs and not hides and tag not in ("html", "body"):
             for k, v in attrs:
                 if k == "hidden" or (k == "aria-hidden" and v == "true"):
                     hides = True
-                elif v and k in ("class", "id", "role") and not MARKED.isdisjoint(SPLIT.split(v.lower())):
-                    hides = tag not in LAYOUT or "comment" in v.lower() or "teaser" in v.lower() or "related" in v.lower()
-        self.open.append((tag, hides))
+                elif v and k in ("class", "id", "role"):
+                    found |= marks(v)
+            if tag in LAYOUT:
+                found &= {"comment", "comments", "teaser", "related"}
+        self.open.append((tag, hides, bool(found)))
         self.hidden += hides
         if tag in ("article", "main"):
             self.kinds.append(tag)
+            self.outer.append(self.regions[-1] if self.regions else 0)
             self.regions.append(len(self.kinds) - 1)
+            if not found:
+                self.around.update(self.marked)
+                if not self.marked:
+                    self.free.add(self.regions[-1])
+        if found:
+            self.marked += (len(self.inside),)
+            self.inside.append(bool(self.regions) or bool(found & READERS))
 
     def close_implied(self, tag: str, within: tuple[str, ...]) -> None:
         for i in range(len(self.open) - 1, -1, -1):
@@ -113,7 +171,7 @@ class Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.hidden:
-            self.parts.append(data)
+            self.parts.append((data, self.marked))
 
 
 def smoothed(ratios: list[float], sigma: float = 1.5) -> list[float]:
@@ -134,19 +192,29 @@ def main_text(html: str | None) -> str:
     p.feed(html or "")
     p.close()
     p.flush()
-    if not p.lines:
+    lines = p.lines()
+    if not lines:
         return ""
-    score = smoothed([len(t) / (1 + k) for t, k, _ in p.lines])
-    mass: dict[str, float] = {}
-    for (text, _, region), s in zip(p.lines, score):
-        mass[p.kinds[region]] = mass.get(p.kinds[region], 0.0) + s
-    for kind in ("article", "main"):
-        if mass.get(kind):
-            keep = {"article", "main"} if kind == "main" else {"article"}
-            return "\n".join(t for t, _, region in p.lines if p.kinds[region] in keep)
+    score = smoothed([len(t) / (1 + k) for t, k, _ in lines])
     level = 0.5 * sum(score) / len(score)
     above = [i for i, s in enumerate(score) if s >= level]
-    return "\n".join(t for t, _, _ in p.lines[above[0] : above[-1] + 1])
+    mass = sum(score[i] for i in above)
+    for kind in ("article", "main"):
+        within = [outermost(p, region, kind) for _, _, region in lines]
+        if sum(score[i] for i in above if within[i]) >= 0.5 * mass:
+            chosen = {within[i] for i in above if within[i]}
+            return "\n".join(t for (t, _, _), w in zip(lines, within) if w in chosen)
+    return "\n".join(t for t, _, _ in lines[above[0] : above[-1] + 1])
+
+
+def outermost(p: Lines, region: int, kind: str) -> int:
+    """The outermost element of the kind around a region, 0 if there is none."""
+    out = 0
+    while region:
+        if p.kinds[region] == kind:
+            out = region
+        region = p.outer[region]
+    return out
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:

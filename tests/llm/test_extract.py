@@ -35,3 +35,27 @@ def test_every_page_once(spark):
     got = sorted(map(tuple, extract_main_text(df).collect()), key=str)
     assert got == sorted([(1, "u", "a", 1), (1, "u", "a", 1), (2, None, "", 0), (None, "v", "\n".join(["b c"] * 5000), 5000 * 4 - 1)], key=str)
     assert extract_main_text(df.where("false")).count() == 0
+
+
+LONG = "\n".join(f"<p>{f'sentence {i} of the page ' * 12}</p>" for i in range(6))
+
+
+@pytest.mark.parametrize("attrs", ["class='has-sidebar'", "class='no-sidebar wide'", "class='with-comments'", "id='search-results'", "class='content-sidebar-wrap'", "class='sidebar-wrapper'"])
+@pytest.mark.parametrize("inner", ["<article>{}</article>", "<div>{}</div>"])
+def test_a_wrapper_does_not_hide_the_article(attrs, inner):
+    html = f"<body><nav>menu</nav><div {attrs}>{inner.format(LONG)}<div class='sidebar'>side</div></div><footer>f</footer></body>"
+    assert main_text(html) == main_text(f"<article>{LONG}</article>") != ""
+
+
+def test_words_of_compound_classes_do_not_hide():
+    assert main_text(f"<article><h1 class='page-header'>Title</h1><p class='share-price'>12.50</p>{LONG}</article>").split("\n")[:2] == ["Title", "12.50"]
+    assert main_text(f"<article class='with-comments'>{LONG}</article>") != ""
+    assert main_text(f"<article>{LONG}</article><div class='comments-area'>{LONG * 5}</div>") == main_text(f"<article>{LONG}</article>")
+
+
+def test_the_scores_choose_the_region():
+    card = "<article class='card'><a>see</a> <a>this</a></article>"
+    want = main_text(f"<article>{LONG}</article>").split("\n")
+    got = main_text(f"<div id='content'>{LONG}</div><ul>{'<li><a>x</a></li>' * 30}</ul>{card}").split("\n")
+    assert [x for x in got if len(x) > 20] == want and "see this" not in got
+    assert main_text(f"<article>{LONG}</article><ul>{'<li><a>x</a></li>' * 30}</ul>{card}").split("\n") == want
