@@ -14,7 +14,7 @@ copies costs one row in the search, whatever its size.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -235,15 +235,19 @@ def differing_share(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def link_wide(fp: np.ndarray, most: int) -> np.ndarray:
-    """For rows of 64-bit lanes the smallest row reachable by at most ``most`` differing bits.
+def differing_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int32)
+
+
+def link_wide(fp: np.ndarray, most: int, apart: Callable[[np.ndarray, np.ndarray], np.ndarray] = differing_bits) -> np.ndarray:
+    """For rows of 64-bit lanes the smallest row reachable by at most ``most`` differing bits (or another distance).
 
     Stars first: all that are near to a centre join it. Then only rows of different stars are compared, in blocks,
     so a group of near copies costs its size and a mixed run its square in plain distances.
     """
     n = len(fp)
     low, free, a, b = np.arange(n), np.ones(n, bool), [], []
-    near = lambda i, at: np.bitwise_count(fp[at] ^ fp[i]).sum(axis=-1, dtype=np.int32) <= most
+    near = lambda i, at: apart(fp[at], fp[i]) <= most
     for i in range(n):
         if not free[i]:
             continue
