@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import core, strip_accents, tokens
 
-#: Distinct names up to which names and words go into the plan as hash sets; beyond it both are joined.
+#: Distinct names up to which names and words go into the plan as hash sets; a larger gazetteer is refused.
 LITERAL_NAMES = 100_000
 
 
@@ -46,7 +46,7 @@ def mentions(lines: DataFrame, gazetteer: DataFrame, single: bool = False, case_
     """
     names = [r.name for r in gazetteer.select("name").where("name <> ''").distinct().limit(LITERAL_NAMES + 1).collect()]
     if len(names) > LITERAL_NAMES:
-        raise ValueError(f"more than {LITERAL_NAMES} names: split the gazetteer and unite the results")
+        raise ValueError(f"more than {LITERAL_NAMES} names: a larger gazetteer is not supported")
     vocabulary = sorted({w for n in names for w in n.split(" ")})
     longest = max((n.count(" ") + 1 for n in names), default=1)
 
