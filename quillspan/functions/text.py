@@ -40,13 +40,35 @@ def _foldings() -> tuple[str, str, str, dict[str, str]]:
     return "".join(one), "".join(to), "".join(gone), many
 
 
+def _class(chars: list[int]) -> str:
+    """A regex class of code points as ranges."""
+    out, start, last = [], None, None
+    for c in [*sorted(chars), None]:
+        if start is not None and c != last + 1:
+            out.append(f"\\x{{{start:x}}}-\\x{{{last:x}}}")
+            start = None
+        if start is None:
+            start = c
+        last = c
+    return f"[{''.join(out)}]"
+
+
+@cache
+def _near() -> tuple[str, str, str]:
+    """For texts of letters below U+0250 only: a class of those that need no more than the two strings of foldings."""
+    one, to, gone, many = _foldings()
+    small = [(c, d) for c, d in zip(one, to) if ord(c) < 0x250]
+    return _class([c for c in range(0x250) if chr(c) not in many and chr(c) not in gone]), "".join(c for c, _ in small), "".join(d for _, d in small)
+
+
 def strip_accents(x: Column) -> Column:
-    """Compatibility decomposition without its combining marks. Texts in ASCII pass untouched."""
+    """Compatibility decomposition without its combining marks. ASCII passes untouched; Latin letters take a short table."""
     one, to, gone, many = _foldings()
+    near, near_one, near_to = _near()
     table = F.from_json(F.lit(json.dumps(many)), "map<string,string>")  # folded to a constant by the optimizer
     several = F.array_join(F.transform(F.split(x, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
-    rare = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in many) + "]"
-    return F.when(x.rlike(r"[^\x00-\x7F]"), F.translate(F.when(x.rlike(rare), several).otherwise(x), one + gone, to)).otherwise(x)
+    any_ = F.translate(F.when(x.rlike(_class([ord(c) for c in many])), several).otherwise(x), one + gone, to)
+    return F.when(~x.rlike(r"[^\x00-\x7F]"), x).when(x.rlike(f"^{near}*$"), F.translate(x, near_one, near_to)).otherwise(any_)
 
 
 def normalize_name(x: Column) -> Column:
@@ -57,8 +79,8 @@ def normalize_name(x: Column) -> Column:
 
 def core(token: Column) -> Column:
     """The token without punctuation around it; a token without letters or digits stays as it is."""
-    found = F.regexp_extract(token, CORE, 0)
-    return F.when(found == "", token).otherwise(found)
+    found = F.nullif(F.regexp_extract(token, CORE, 0), F.lit(""))
+    return F.when(token.rlike("^[A-Za-z0-9_]+$"), token).otherwise(F.coalesce(found, token))
 
 
 def words(text: Column) -> Column:

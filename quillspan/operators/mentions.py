@@ -1,8 +1,9 @@
 """Mentions of names with exact line and column positions.
 
-Lines are paired with the next line of their block; everything after that, up to the mention rows, happens inside
-the row: tokens, vocabulary, phrases and their match against the names are array expressions, so only real mentions
-are ever exploded. The one shuffle is the pairing (and, in single-longest mode, none more: a run lies in one row).
+Lines are paired with the next line of their block; the joined text is cut into tokens, one row each, whose keys are
+computed in generated code and meet the words of the names by equality. Only known words go on: a run of them is told
+by its consecutive positions, its parts are built in a bounded window and meet the names by equality. The gazetteer is
+a table like any other, of any size. All windows lie within a document, so the one shuffle is that by document.
 """
 
 from __future__ import annotations
@@ -10,10 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import core, strip_accents, tokens
+from ..functions.text import core, strip_accents
 
-#: Distinct names up to which names and words go into the plan as hash sets; a larger gazetteer is refused.
-LITERAL_NAMES = 100_000
+TRIMMED = " -"
 
 
 def paired_lines(lines: DataFrame) -> DataFrame:
@@ -25,16 +25,56 @@ def paired_lines(lines: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc_id", "block_id").orderBy("lineno")
     own = F.coalesce("text", F.lit(""))
     out = lines.select("doc_id", "block_id", "lineno", own.alias("line1")).withColumns({"line2": F.lead("line1").over(w), "lineno2": F.lead("lineno").over(w)})
+    return _joined(out)
+
+
+def _joined(pairs: DataFrame) -> DataFrame:
     broken = F.endswith("line1", F.lit("-")) | F.startswith("line2", F.lit("-"))
-    end1 = F.rtrim("line1", F.lit(" -"))
-    joined = F.when(F.col("line2").isNull(), end1).when(broken, F.concat(F.rtrim("line1", F.lit(" ")), F.ltrim("line2", F.lit(" ")))).otherwise(F.concat(end1, F.lit(" "), F.ltrim("line2", F.lit(" -"))))
+    end1 = F.rtrim("line1", F.lit(TRIMMED))
+    joined = F.when(F.col("line2").isNull(), end1).when(broken, F.concat(F.rtrim("line1", F.lit(" ")), F.ltrim("line2", F.lit(" ")))).otherwise(F.concat(end1, F.lit(" "), F.ltrim("line2", F.lit(TRIMMED))))
     added = F.when(F.col("line2").isNull() | broken, 0).otherwise(1)
-    return out.withColumns({"joined": joined, "added": added})
+    return pairs.withColumns({"joined": joined, "added": added})
 
 
 def token_key(raw: Column, case_sensitive: bool = False) -> Column:
+    """What a token is compared by: its core without accents, in lower case unless ``case_sensitive``."""
     folded = strip_accents(raw)
-    return core(folded if case_sensitive else F.lower(folded))
+    return F.when(raw.rlike("^[a-z0-9_]+$"), raw).otherwise(core(folded if case_sensitive else F.lower(folded)))
+
+
+def known_words(lines: DataFrame, gazetteer: DataFrame, longest: int, whole: bool, case_sensitive: bool = False) -> DataFrame:
+    """A row for each token of the paired lines that is a word of some name, with its place in the joined text.
+
+    Of the second line only the ``longest`` tokens next to the seam are read, as only names that begin on the first
+    line count; all of it if ``whole``. Columns: the pair's (doc_id, block_id, lineno, lineno2 and what is cut off at
+    the seam), and the token's pos, piece (with the white space before it), from (where the piece begins), start and
+    stop of its core, word.
+    """
+    pairs = paired_lines(lines.repartition("doc_id"))  # one dealing by document serves all windows
+    if not whole:
+        near = F.regexp_extract("line2", rf"^[ \-]*(?U)\s*(?:\S+\s+){{0,{longest}}}\S*", 0)
+        pairs = _joined(pairs.withColumn("size2", F.length("line2")).withColumn("line2", near))
+    else:
+        pairs = pairs.withColumn("size2", F.length("line2"))
+    seam = F.length(F.rtrim("line1", F.lit(TRIMMED)))
+    bare2 = F.length(F.ltrim("line2", F.lit(TRIMMED)))
+    pairs = pairs.select(
+        "doc_id", "block_id", "lineno", "lineno2", seam.alias("seam"), F.expr("substring(line1, length(rtrim(' -', line1)) + 1)").alias("tail1"),
+        F.expr("substring(line2, 1, length(line2) - length(ltrim(' -', line2)))").alias("lead2"), (F.length("joined") - bare2).alias("after"),
+        (F.length("line2") - bare2 - F.length("line1") - F.col("added")).alias("shift"), ((F.col("line1") != "") & (F.coalesce("size2", F.lit(0)) > 0)).alias("both"),
+        F.regexp_extract_all("joined", F.lit(r"(?U)\s*\S+"), F.lit(0)).alias("pieces"))
+    pairs = pairs.select(*pairs.columns[:-1], F.posexplode("pieces").alias("pos", "piece"))
+    upto = F.sum(F.length("piece")).over(Window.partitionBy("doc_id", "block_id", "lineno").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    raw = F.regexp_extract("piece", r"(?U)\S+", 0)
+    tok = pairs.withColumn("key", token_key(raw, case_sensitive)).withColumn("upto", upto.cast("int"))
+    vocabulary = gazetteer.select(F.explode(F.split("name", " ")).alias("word")).distinct()
+    hyphen = F.when(F.col("key").contains("-"), F.replace("key", F.lit("-"), F.lit("")))
+    tok = tok.withColumn("bare", hyphen).join(vocabulary.withColumnRenamed("word", "v"), F.col("key") == F.col("v"), "left")
+    # the bare form is looked up only where the key is no word itself
+    tok = tok.join(vocabulary.withColumnRenamed("word", "u"), F.when(F.col("v").isNull(), F.col("bare")) == F.col("u"), "left")
+    tok = tok.withColumn("word", F.coalesce("v", "u")).where("word is not null").drop("v", "u", "bare", "key").withColumn("raw", raw).withColumn("own", core(F.col("raw")))
+    start = F.col("upto") - F.length("raw") + F.position(F.col("own"), F.col("raw")) - 1
+    return tok.select("*", (F.col("upto") - F.length("piece")).alias("from"), start.alias("start"), (start + F.length("own")).alias("stop")).drop("upto", "raw", "own")
 
 
 def mentions(lines: DataFrame, gazetteer: DataFrame, single: bool = False, case_sensitive: bool = False) -> DataFrame:
@@ -44,48 +84,34 @@ def mentions(lines: DataFrame, gazetteer: DataFrame, single: bool = False, case_
     name is a mention, or only the longest (the first of equals) if ``single``. There is a row for each code. Columns
     count from 0, the end is exclusive; a mention on the second line alone is left to that line.
     """
-    names = [r.name for r in gazetteer.select("name").where("name <> ''").distinct().limit(LITERAL_NAMES + 1).collect()]
-    if len(names) > LITERAL_NAMES:
-        raise ValueError(f"more than {LITERAL_NAMES} names: a larger gazetteer is not supported")
-    vocabulary = sorted({w for n in names for w in n.split(" ")})
-    longest = max((n.count(" ") + 1 for n in names), default=1)
-
-    def known(t: Column) -> Column:
-        key = token_key(t["raw"], case_sensitive)
-        bare = F.replace(key, F.lit("-"), F.lit(""))
-        return F.when(key.isin(vocabulary), key).when(key.contains("-") & bare.isin(vocabulary), bare)
-
-    pairs = paired_lines(lines).withColumn("tokens", tokens(F.col("joined"))).withColumn("words", F.transform("tokens", known))
-    at = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words"))), lambda p: (F.size("words") >= p) & F.try_element_at("words", p).isNotNull())
-
-    def phrases(p: Column) -> Column:
-        def of(n: Column) -> Column:
-            part = F.slice("words", p, n)
-            fits = (p + n - 1 <= F.size("words")) & ~F.exists(part, lambda x: x.isNull())
-            return F.struct(p.alias("pos"), n.alias("n"), F.when(fits, F.array_join(part, " ")).alias("name"))
-
-        return F.filter(F.transform(F.sequence(F.lit(1), F.lit(longest)), of), lambda x: x["name"].isin(names))
-
-    hits = F.flatten(F.transform(at, phrases))
+    gazetteer = gazetteer.select("name", "code").where("name <> ''").distinct()
+    longest = gazetteer.agg(F.max(F.size(F.split("name", " ")))).first()[0] or 1
+    words = known_words(lines, gazetteer, longest, single, case_sensitive)
+    line = ["doc_id", "block_id", "lineno"]
+    w = Window.partitionBy(*line).orderBy("pos")
+    ahead = F.collect_list(F.struct("pos", "word", "piece", "stop")).over(w.rowsBetween(0, longest - 1)) if longest > 1 else F.array(F.struct("pos", "word", "piece", "stop"))
+    words = words.withColumn("ahead", ahead)
     if single:
-        # a run is told by the number of words outside the vocabulary before it
-        run = lambda x: F.size(F.filter(F.slice("words", F.lit(1), x["pos"]), lambda y: y.isNull()))
-        runs = F.transform(hits, lambda x: F.struct(run(x).alias("run"), x.alias("x")))
-        best = F.transform(F.array_distinct(F.transform(runs, lambda r: r["run"])), lambda k: F.array_max(F.transform(F.filter(runs, lambda r: r["run"] == k), lambda r: F.struct(
-            r["x"]["n"].alias("n"), (-r["x"]["pos"]).alias("p"), r["x"].alias("x"))))["x"])
-        hits = best
-    found = pairs.withColumn("hit", F.explode(hits)).withColumns({
-        "start": F.expr("tokens[hit.pos - 1].start"), "stop": F.expr("tokens[hit.pos + hit.n - 2].stop"), "seam": F.length(F.rtrim("line1", F.lit(" -")))})
+        words = words.withColumn("run", F.col("pos") - F.row_number().over(w))
+    part = F.slice("ahead", F.lit(1), F.col("n"))
+    found = words.withColumn("n", F.explode(F.sequence(F.lit(1), F.size("ahead")))).where(F.expr("ahead[n - 1].pos = pos + n - 1")).select(
+        *[c for c in words.columns if c not in ("ahead", "word", "piece", "stop")], "n", F.array_join(part["word"], " ").alias("name"),
+        F.array_join(part["piece"], "").alias("pieces"), F.expr("ahead[n - 1].stop").alias("stop"))
     first = F.col("stop") <= F.col("seam")
-    over = (F.col("start") < F.col("seam")) & ~first & (F.col("line1") != "") & (F.coalesce("line2", F.lit("")) != "")
-    endcol = F.when(over, F.col("stop") - F.length("line1") - F.col("added") + F.length("line2") - F.length(F.ltrim("line2", F.lit(" -")))).otherwise(F.col("stop"))
-    found = found.where(first | over).withColumns({"over": over, "endcol": endcol}).select(
-        "doc_id", F.col("lineno").alias("startline"), F.col("start").alias("startcol"), F.when(F.col("over"), F.col("lineno2")).otherwise(F.col("lineno")).alias("endline"), "endcol",
-        F.col("hit.name").alias("name"), F.col("hit.pos").alias("pos"), F.col("hit.n").alias("n"),
-        F.when(F.col("over"), F.concat(F.expr("substring(line1, start + 1)"), F.expr("substring(line2, 1, endcol)"))).otherwise(F.expr("substring(line1, start + 1, stop - start)")).alias("text"))
-    out = found.join(gazetteer.select("name", "code").distinct(), "name")
+    over = (F.col("start") < F.col("seam")) & ~first & F.col("both")
+    if single:
+        found = found.join(gazetteer.select("name").distinct(), "name", "left_semi")
+        best = Window.partitionBy(*line, "run").orderBy(F.desc("n"), "pos")
+        found = found.withColumn("best", F.row_number().over(best)).where("best = 1")
+    found = found.where(first | over).withColumn("over", over)
+    # the text between start and stop, with what was cut off at the seam put back
+    plain = F.expr("substring(pieces, start - `from` + 1, stop - start)")
+    whole = F.concat(F.expr("substring(pieces, start - `from` + 1, seam - start)"), F.col("tail1"), F.col("lead2"), F.expr("substring(pieces, after - `from` + 1, stop - after)"))
+    found = found.select(
+        "doc_id", F.col("lineno").alias("startline"), F.col("start").alias("startcol"), F.when(F.col("over"), F.col("lineno2")).otherwise(F.col("lineno")).alias("endline"),
+        F.when(F.col("over"), F.col("stop") + F.col("shift")).otherwise(F.col("stop")).alias("endcol"), "name", "pos", "n", F.when(F.col("over"), whole).otherwise(plain).alias("text"))
     order = Window.partitionBy("doc_id").orderBy("startline", "pos", "n", "code")
-    return out.select("doc_id", F.row_number().over(order).alias("ord"), "startline", "startcol", "endline", "endcol", "name", "code", "text")
+    return found.join(gazetteer, "name").select("doc_id", F.row_number().over(order).alias("ord"), "startline", "startcol", "endline", "endcol", "name", "code", "text")
 
 
 def count_mentions(found: DataFrame, gazetteer: DataFrame) -> DataFrame:

@@ -66,6 +66,13 @@ def test_case_sensitive_and_empty_input(lines, gazetteer, spark):
     assert mentions(lines, gazetteer.where("false")).count() == 0
 
 
+def test_a_large_gazetteer_is_a_table_not_a_plan(spark, lines, gazetteer):
+    many = gazetteer.unionByName(spark.range(200_000).select(F.concat(F.lit("name"), "id").alias("name"), F.lit("c").alias("code")))
+    found = mentions(lines, many)
+    assert [tuple(r)[2:] for r in found.orderBy("ord").collect()] == MENTIONS
+    assert "name199999" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_counts_count_codes_once(lines, gazetteer):
     assert {r.name: r.n for r in count_mentions(mentions(lines, gazetteer), gazetteer).collect()} == {"old norse": 1, "norse": 3, "zulu": 3, "tukisano": 1, "dine": 2}
 
