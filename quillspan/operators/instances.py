@@ -25,14 +25,16 @@ def gold(l_lines: DataFrame, s: Settings = Settings()) -> DataFrame:
     return l_lines.select("doc_id", "span_id", *LINE[1:], F.coalesce(name, F.lit("???")).alias("gold_name"), F.coalesce("lang_code", F.lit("und")).alias("gold_code"))
 
 
-def instances(lines: DataFrame, gazetteer: DataFrame, common: DataFrame, english: DataFrame, models: DataFrame | None = None, s: Settings = Settings()) -> DataFrame:
+def instances(lines: DataFrame, gazetteer: DataFrame, common: DataFrame, english: DataFrame, models: DataFrame | None = None, s: Settings = Settings(), found: DataFrame | None = None) -> DataFrame:
     """``(doc_id, span_id, span_ord, lineno, name, code, cand_ord, label, feats)``.
 
     ``models`` is (source, kind, name, code, n, gram) with sources ``field`` and ``web``; without it there are no model
     features. A candidate without any feature stays, with an empty array. Only families that are switched on are
-    planned; document-wide features are computed once for a document and joined.
+    planned; document-wide features are computed once for a document and joined. ``found`` are the mentions if the
+    caller has them already, kept (they are read by every family); otherwise they are found here.
     """
-    found = find_mentions(lines, gazetteer, s.single_mention, s.case_sensitive)
+    if found is None:
+        found = find_mentions(lines, gazetteer, s.single_mention, s.case_sensitive)
     facts = document_facts(lines, found)
     spans = sessionize(lines.where("span_id is not null or lineno is not null"))
     bounds = span_bounds(spans)

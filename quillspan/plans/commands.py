@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import random
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +21,13 @@ class Workbench:
 
     def __init__(self, spark: SparkSession, settings: Settings, places: dict[str, str]) -> None:
         self.spark, self.s, self.places = spark, settings, places
+        self._kept: dict[tuple[str, ...], DataFrame] = {}
+
+    def close(self) -> None:
+        """Give back the mentions that were kept."""
+        for df in self._kept.values():
+            df.unpersist()
+        self._kept.clear()
 
     def place(self, ending: str) -> str | None:
         return next((v for k, v in self.places.items() if k.endswith(ending)), None)
@@ -40,8 +47,20 @@ class Workbench:
         return resources.read_words(self.spark, path) if path else self.spark.createDataFrame([], "word string")
 
     def models(self) -> DataFrame | None:
-        path = self.place("models")  # Parquet of (source, kind, name, code, n, gram)
-        return self.spark.read.parquet(path) if path else None
+        """(source, kind, name, code, n, gram): Parquet (``models``), and the files of either source that are named.
+
+        A key ``x-directory-index`` (CSV: name, code, folder) makes ``x-language-model`` a folder of models from the
+        web; any other ``*-language-model`` is a folder of models built from examples.
+        """
+        found, columns, end = [], ["source", "kind", "name", "code", "n", "gram"], "-language-model"
+        if path := self.place("models"):
+            found.append(self.spark.read.parquet(path).select(columns))
+        for key, path in self.places.items():
+            if key.endswith(end):
+                index = self.places.get(key.removesuffix(end) + "-directory-index")
+                own = resources.read_web_models(self.spark, path, index) if index else resources.read_field_models(self.spark, path, self.gazetteer())
+                found.append(own.select(columns))
+        return reduce(DataFrame.unionByName, found) if found else None
 
     def lines(self, files: list[str]) -> DataFrame:
         if not files:
@@ -49,7 +68,11 @@ class Workbench:
         return annotated.read_lines(self.spark, files)
 
     def mentions(self, files: list[str]) -> DataFrame:
-        return mentions(self.lines(files), self.gazetteer(), self.s.single_mention, self.s.case_sensitive)
+        """Found once for the same files and kept (spilling to disk) until ``close``: features, recall and lists all read them."""
+        key = tuple(files)
+        if key not in self._kept:
+            self._kept[key] = mentions(self.lines(files), self.gazetteer(), self.s.single_mention, self.s.case_sensitive).persist()
+        return self._kept[key]
 
     def counts(self, files: list[str]) -> DataFrame:
         return count_mentions(self.mentions(files), self.gazetteer()).orderBy(F.desc("n"), "name")
@@ -61,7 +84,7 @@ class Workbench:
         return evaluate.common_codes(self.language_lines(files), self.gazetteer())
 
     def instances(self, files: list[str]) -> DataFrame:
-        return instances(self.lines(files), self.gazetteer(), self.common(), self.english(), self.models(), self.s)
+        return instances(self.lines(files), self.gazetteer(), self.common(), self.english(), self.models(), self.s, self.mentions(files))
 
     def truth(self, files: list[str]) -> DataFrame:
         return gold(self.language_lines(files), self.s)
@@ -69,7 +92,7 @@ class Workbench:
     def train(self, files: list[str], model_path: str, vector_path: str | None = None) -> learn.Model:
         rows = self.instances(files).persist()
         if vector_path:
-            vectors(rows).write.mode("overwrite").partitionBy("doc_id").text(vector_path)
+            vectors(rows).write.mode("overwrite").option("sep", "\t").csv(vector_path)  # document, line of the vector
         model = learn.train(rows)
         rows.unpersist()
         learn.save(model, self.spark, model_path)
@@ -98,15 +121,13 @@ class Workbench:
         return evaluate.mention_recall(self.truth(files), self.mentions(files))
 
     def validate(self, files: list[str], folds: int = 5, seed: int = 1) -> tuple[DataFrame, DataFrame]:
-        """Results of each fold, and their means and deviations. Files are dealt to folds at random; instances are built once."""
-        rnd = random.Random(seed)
-        docs = sorted(r.doc_id for r in self.lines(files).select("doc_id").distinct().collect())
-        table = self.spark.createDataFrame([(x, rnd.randint(1, folds)) for x in docs], "doc_id string, fold int")
-        rows = self.instances(files).join(table, "doc_id").persist()
-        truth = self.truth(files).join(table, "doc_id").persist()
-        found = self.mentions(files).persist()
+        """Results of each fold, and their means and deviations. A document's fold is a hash of its id and the seed."""
+        fold = (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(folds)) + 1).cast("int")
+        rows = self.instances(files).withColumn("fold", fold).persist()
+        truth = self.truth(files).withColumn("fold", fold).persist()
+        found = self.mentions(files)
         out = []
-        for k in sorted(r.fold for r in table.select("fold").distinct().collect()):
+        for k in sorted(r.fold for r in truth.select("fold").distinct().collect()):  # at most ``folds``
             training = rows.where(F.col("fold") != k)
             if training.isEmpty():
                 raise ValueError(f"fold {k} leaves nothing to train on")
@@ -114,6 +135,8 @@ class Workbench:
             own = truth.where(F.col("fold") == k)
             a, r = evaluate.accuracy(evaluate.compared(own, best, LINE)).first(), evaluate.mention_recall(own, found).first()
             out.append((k, a.samples, a.acc_name, a.acc_both, a.acc_code, float(r.recall)))
+        rows.unpersist()
+        truth.unpersist()
         result = self.spark.createDataFrame(out, "fold int, samples long, acc_name double, acc_both double, acc_code double, recall double")
         return result, evaluate.fold_summary(result)
 

@@ -6,6 +6,8 @@ A block is a header (``doc_id= page= block_id= bbox= label= first last``) and it
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,6 +59,26 @@ def render(lines: DataFrame) -> DataFrame:
     return rows.groupBy("file").agg(body.alias("value"))
 
 
-def write_documents(lines: DataFrame, path: str) -> None:
-    """A folder ``file=<name>`` for each document, with its text."""
-    render(lines).write.mode("overwrite").partitionBy("file").text(path)
+#: Buckets of files into which documents are written.
+BUCKETS = 64
+
+
+def write_documents(lines: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Parquet ``(file, value)``: the whole text of each document beside its name, in a bounded number of files."""
+    render(lines).repartition(buckets, "file").write.mode("overwrite").parquet(path)
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of what ``write_documents`` has written."""
+    return parse_files(spark.read.parquet(path).select("file", "value"))
+
+
+def export_documents(spark: SparkSession, path: str, to: str) -> int:
+    """Plain files under a local folder from what ``write_documents`` has written, one at a time; returns how many."""
+    os.makedirs(to, exist_ok=True)
+    n = 0
+    for r in spark.read.parquet(path).toLocalIterator():
+        with open(os.path.join(to, os.path.basename(r.file)), "w", encoding="utf-8", newline="") as f:
+            f.write(r.value)
+        n += 1
+    return n

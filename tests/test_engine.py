@@ -208,9 +208,12 @@ def test_train_classify_and_test(spark, docs, gazetteer, tmp_path):
     acc = w.test(files[2:], str(tmp_path / "m"))["accuracy"].first()
     assert acc.samples == 2 and acc.acc_name >= 0.5
     w.classify(files[2:], str(tmp_path / "m"), str(tmp_path / "out"))
-    got = annotated.read_lines(spark, str(tmp_path / "out/file=d3.txt/*.txt"))
+    got = annotated.read_documents(spark, str(tmp_path / "out"))
     assert got.where("lineno in (6, 7) and lang_name = 'Zulu' and lang_code in ('zul', 'zux')").count() == 2
     assert got.count() == 10
+    assert annotated.export_documents(spark, str(tmp_path / "out"), str(tmp_path / "plain")) == 1
+    assert annotated.read_lines(spark, str(tmp_path / "plain/d3.txt")).count() == 10
+    w.close()
     with pytest.raises(ValueError):
         w.lines([])
 
