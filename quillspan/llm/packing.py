@@ -11,6 +11,7 @@ place. No row goes to the driver and no length, however common, goes to one task
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import materialize
@@ -29,16 +30,30 @@ from .words import gather, slices, split_words
 CAPACITY, END = 4096, 2
 #: Rows that are numbered together within a length, at most on average.
 NUMBERED = 50_000
+#: Rows that one task numbers, at most on average.
+TASK_ROWS = 2_000_000
 #: Distinct parts of words whose ids a worker remembers, but for those of one slice.
 REMEMBERED = 200_000
 
 
+def _plain_letters() -> str:
+    """A class of letters that normalisation leaves alone and that have one letter each for their lower case."""
+    same = lambda c: unicodedata.normalize("NFC", c) == c and unicodedata.category(c)[0] == "L"
+    return "".join(c for c in map(chr, range(0x500)) if same(c) and len(c.lower()) == 1 and same(c.lower()))
+
+
+#: A word's last letter and the ASCII marks after it (but for the apostrophe, which begins parts of its own).
+CLOSED = rf"([{_plain_letters()}])([!-&(-/:-@\[-`{{-~]+)$"
+
+
 class Encoder:
     """Ids of texts, each with the closing id.
 
-    The tokenizer lowers case and drops white space, and none of its rules reaches across ASCII white space or from a
-    letter into the punctuation after it. So a text's ids are those of its words, and a word's ids those of its letters
-    and of its closing marks. Each distinct part is encoded once and remembered, in flat arrays of bounded size.
+    The tokenizer normalises, lowers case and drops white space, and none of its rules reaches across ASCII white space
+    or from a letter into the punctuation after it, unless normalising gives the letter a mark of its own. So a text's
+    ids are those of its words, and a word's ids those of its letters and of its closing marks where its last letter is
+    one that normalising leaves alone; other words, and those that may hold one of the tokenizer's own marks, are
+    encoded as they are. Each distinct part is encoded once and remembered, in flat arrays of bounded size.
     """
 
     def __init__(self, tokenizer) -> None:
@@ -84,7 +99,8 @@ class Encoder:
     def parts(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Numbers of the known parts of each of ``words``, one after another; where each word's begin; how many."""
         low = pc.if_else(pc.string_is_ascii(words), pc.ascii_lower(words), words)
-        low, offsets = split_words(pc.replace_substring_regex(low, r"(\p{L})([!-&(-/:-@\[-`{-~]+)$", r"\1 \2"))
+        apart = pc.replace_substring_regex(low, CLOSED, r"\1 \2")
+        low, offsets = split_words(pc.if_else(pc.match_substring(words, "|>"), words, apart))  # "|>": may be a mark
         numbered = low.dictionary_encode()
         distinct = numbered.dictionary.to_pylist()
         if len(self.known) > REMEMBERED:
@@ -119,9 +135,7 @@ def encoder(tokenizer_file: str) -> Encoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores already
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(tokenizer_file)
-    tokenizer.encode_special_tokens = True
-    return Encoder(tokenizer)
+    return Encoder(Tokenizer.from_file(tokenizer_file))
 
 
 def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, with_ids: bool = False, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -207,7 +221,8 @@ def pack(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, with_id
 
     Each id of each document, and its closing id, lies in exactly one piece; each sequence is filled from offset 0
     without gaps. Null and empty texts are a lone closing id. Repeated rows are packed as often as they occur; null
-    ids are kept. Ties between equal lengths are broken by the rows' order of storage, so a rerun packs alike.
+    ids are kept. Ids are those of the tokenizer as its file has it: its marks (``<|endoftext|>``) that stand in a text
+    become their own ids. Ties between equal lengths are broken by the rows' order of storage, so a rerun packs alike.
     ``with_ids`` adds the ids themselves. Extra columns are not read; empty in, empty out.
     """
     spark = docs.sparkSession
@@ -225,10 +240,10 @@ def pack(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, with_id
     own = own.withColumn("split", F.expr(f"cast(pmod(xxhash64(row, start), element_at(array({splits}), cast(length AS int))) AS int)"))
     sizes = own.groupBy("length", "split").agg(F.count("*").alias("n"))
     names = [c for c in own.columns if c not in ("row", "split")]
-    base = sizes.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("split", "n"))).alias("s")).select("length", F.explode(F.expr(
-        "transform(s, (x, i) -> struct(x.split AS split, aggregate(slice(s, 1, i), 0L, (t, y) -> t + y.n) AS base))")).alias("b")).select("length", "b.split", "b.base")
+    before = Window.partitionBy("length").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.select("length", "split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))  # a row for each split
     joined = own.join(base, ["length", "split"]).select("length", "split", "base", "row", *[c for c in names if c != "length"])
-    dealt = joined.repartition(tasks, "length", "split").sortWithinPartitions("length", "split", "row", "start")
+    dealt = joined.repartition(max(tasks, total // TASK_ROWS), "length", "split").sortWithinPartitions("length", "split", "row", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rank = None, 0
