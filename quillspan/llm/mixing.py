@@ -17,6 +17,8 @@ from .shared import materialize
 PART = 500.0
 #: Entries of all sources' distribution tables up to which they are broadcast (8 bytes each).
 BROADCAST_ENTRIES = 1_000_000
+#: Code points of a partition of the result, at most on average.
+PARTITION_CHARS = 128_000_000
 
 
 def uniform(*parts: Column | str) -> Column:
@@ -25,7 +27,7 @@ def uniform(*parts: Column | str) -> Column:
 
 
 def repetition_rates(docs: DataFrame, weights: dict[str, float], default: float = 1.0, epochs: float = 1.0) -> DataFrame:
-    """``(mixed, rate, parts, cdf)``: for each source its mean count and the distribution function of a part of it.
+    """``(mixed, all_size, rate, parts, cdf)``: for each source the size of all texts, its mean count and the distribution function of a part of it.
 
     Sizes are code points of whole texts over all rows. Sources that ``weights`` does not name get ``default``;
     weights are normalised over the sources that occur. A source without any text has rate ``epochs``.
@@ -35,10 +37,10 @@ def repetition_rates(docs: DataFrame, weights: dict[str, float], default: float
     sizes = sizes.withColumn("weight", F.coalesce(F.try_element_at(named, F.col("mixed")).cast("double"), F.lit(float(default))))
     total = sizes.agg(F.sum("size").alias("all_size"), F.sum(F.when(F.col("size") > 0, F.col("weight"))).alias("all_weight"))
     rate = F.when(F.col("size") > 0, F.lit(float(epochs)) * F.col("weight") / F.col("all_weight") * F.col("all_size") / F.col("size")).otherwise(F.lit(float(epochs)))
-    rates = sizes.join(F.broadcast(total)).select("mixed", rate.alias("rate"))  # total is one row
+    rates = sizes.join(F.broadcast(total)).select("mixed", "all_size", rate.alias("rate"))  # total is one row
     rates = rates.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / PART).cast("int"))).withColumn("mean", F.col("rate") / F.col("parts"))
     return rates.selectExpr(
-        "mixed", "rate", "parts",
+        "mixed", "all_size", "rate", "parts",
         """aggregate(sequence(1, cast(ceil(mean + 12 * sqrt(mean)) as int) + 30),
              named_struct('p', exp(-mean), 'cdf', array(exp(-mean))),
              (s, k) -> named_struct('p', s.p * mean / k, 'cdf', concat(s.cdf, array(s.cdf[k - 1] + s.p * mean / k))),
@@ -49,26 +51,27 @@ def mix_sources(docs: DataFrame, weights: dict[str, float], default: float = 1.0
     """All columns of ``docs`` with ``copy`` (0, 1, ... for each document) and ``order_key``, shuffled globally.
 
     Rows with equal ids get equal counts; a null id counts as the text "null", a null source as the source "". Null
-    and empty texts have size 0 and are replicated at their source's rate. Columns named like the new ones are
-    replaced. Partitions hold random parts of the result, each in random order (by ``order_key``). Empty in, empty out.
+    and empty texts have size 0 and are replicated at their source's rate. Columns of any names are kept, but those
+    named ``copy`` and ``order_key``, which are replaced. Partitions hold random parts of the result, each in random
+    order (by ``order_key``). Empty in, empty out.
 
     Sizes are summed by partial aggregation; the rates go to the documents, not the documents to their source, so a
     source with a third of all rows is no hot key. Only if the rate tables are larger than a checked bound are both
-    sides shuffled, in a join that AQE splits.
+    sides shuffled, in a join that AQE splits. The number of partitions follows the size of the result.
     """
     spark = docs.sparkSession
     rates = materialize(repetition_rates(docs, weights, default, epochs), "rates")
-    own = docs.select([c for c in docs.columns if c not in ("copy", "order_key")])
-    own = own.withColumn("mixed", F.coalesce(F.col("source").cast("string"), F.lit("")))
-    entries = rates.agg(F.sum(F.size("cdf")).alias("n")).first().n or 0
-    rates = F.broadcast(rates) if entries <= BROADCAST_ENTRIES else rates
-    rates = rates.select("mixed", F.col("parts").alias("_parts"), F.col("cdf").alias("_cdf"))
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    draws = F.transform(F.sequence(F.lit(1), F.col("_parts")), lambda i: uniform(F.lit(seed), key, i.cast("string")))
-    count = F.aggregate(draws, F.lit(0), lambda t, u: t + F.size(F.filter("_cdf", lambda c: c <= u)))
-    out = own.join(rates, "mixed").withColumn("_n", count).where("_n > 0").withColumn("copy", F.explode(F.expr("sequence(0, _n - 1)"))).drop("mixed", "_parts", "_cdf", "_n")
-    out = out.withColumn("order_key", F.md5(F.concat_ws(":", F.lit(seed + "/order"), key, F.col("copy").cast("string"))))
-    return out.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "order_key").sortWithinPartitions("order_key")
+    entries, size = rates.agg(F.sum(F.size("cdf")), F.max("all_size")).first()
+    kept = [c for c in docs.columns if c not in ("copy", "order_key")]
+    # a document's columns travel as one struct, so no name of theirs meets a name used here
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept] or [F.lit(0).alias("none")]).alias("doc"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("mixed"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("key"))
+    rates = F.broadcast(rates) if (entries or 0) <= BROADCAST_ENTRIES else rates
+    draws = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda i: uniform(F.lit(seed), F.col("key"), i.cast("string")))
+    count = F.aggregate(draws, F.lit(0), lambda t, u: t + F.size(F.filter("cdf", lambda c: c <= u)))
+    out = own.join(rates.select("mixed", "parts", "cdf"), "mixed").select("doc", "key", count.alias("n")).where("n > 0").select("doc", "key", F.explode(F.expr("sequence(0, n - 1)")).alias("copy"))
+    out = out.select(*[F.col("doc").getField(c).alias(c) for c in kept], "copy", F.md5(F.concat_ws(":", F.lit(seed + "/order"), F.col("key"), F.col("copy").cast("string"))).alias("order_key"))
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(epochs * (size or 0)) // PARTITION_CHARS)
+    return out.repartition(partitions, "order_key").sortWithinPartitions("order_key")
 
 
 def mixing_sql(weights: dict[str, float], default: float, epochs: float, seed: str) -> str:

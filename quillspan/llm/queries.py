@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from .licences import scan_licences
 from .mixing import mix_sources, mixing_sql
 from .packing import pack
 from .quality import score_quality
-from .shared import small_batches
+from .shared import call_scope, small_batches
 from .simhash import simhash_components
 from .substring import drop_repeated
 from .urlrules import PRODUCTION_RULES, judge_urls
@@ -77,22 +78,47 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_packing": op1_packing,
-    "op2_url_rules": op2_url_rules,
-    "op3_edit_fingerprints": op3_edit_fingerprints,
-    "op4_mixing": op4_mixing,
-    "op5_licences": op5_licences,
-    "op6_main_text": op6_main_text,
-    "op7_simhash": op7_simhash,
-    "op8_substrings": op8_substrings,
-    "op9_embeddings": op9_embeddings,
-    "op10_quality": op10_quality,
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def tidy(f: Query) -> Query:
+    """Tables that the last but one call of the query has written are deleted."""
+
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with call_scope(spark, f.__name__):
+            return f(spark, sf_dir)
+
+    return run
+
+
+QUERIES: dict[str, Query] = {
+    "op1_packing": tidy(op1_packing),
+    "op2_url_rules": tidy(op2_url_rules),
+    "op3_edit_fingerprints": tidy(op3_edit_fingerprints),
+    "op4_mixing": tidy(op4_mixing),
+    "op5_licences": tidy(op5_licences),
+    "op6_main_text": tidy(op6_main_text),
+    "op7_simhash": tidy(op7_simhash),
+    "op8_substrings": tidy(op8_substrings),
+    "op9_embeddings": tidy(op9_embeddings),
+    "op10_quality": tidy(op10_quality),
 }
 
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in PRODUCTION_RULES)
 
 ORACLES: dict[str, str] = {
+    "op9_embeddings": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u AS (SELECT vec_id, e, len(e) AS d, sqrt(list_inner_product(e, e)) AS norm FROM v),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.d = b.d AND a.vec_id <> b.vec_id WHERE list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.95),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+low AS (SELECT a, min(b) AS b FROM reach GROUP BY a), n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(low.b, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(low.b, vec_id)) AS kept
+FROM embeddings LEFT JOIN low ON low.a = vec_id LEFT JOIN n ON n.a = vec_id
+""",
     "op4_mixing": mixing_sql(TARGET, 1.0, 1.0, "mix"),
     "op2_url_rules": rf"""
 WITH parts AS (

@@ -2,7 +2,7 @@
 
 Cluster rules kept here: lineage is cut by writing Parquet under ``spark.checkpoint.dir`` (a folder that the
 driver and all executors share), so a lost executor costs a re-read and never a lost block. Nothing is put
-into a machine-local folder unless the session names no shared folder at all, as in tests.
+into a machine-local folder unless the session names no shared folder and is a local one, as in tests.
 """
 
 from __future__ import annotations
@@ -23,10 +23,12 @@ _OWN_DIR: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the session names none."""
+    """The cluster's shared folder; a temporary one only where the session names none and runs in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append(tempfile.mkdtemp(prefix="quillspan-"))
     return "file://" + _OWN_DIR[0]
@@ -71,6 +73,18 @@ def release(spark: SparkSession, name: str, keep: int = 0) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path.getParent(), True)
 
 
+_CALLS: dict[str, int] = {}
+
+
+@contextlib.contextmanager
+def call_scope(spark: SparkSession, name: str) -> Iterator[None]:
+    """For a query: what it writes is deleted when the query is called for the second time after this call."""
+    k = _CALLS[name] = _CALLS.get(name, 0) + 1
+    release(spark, f"{name}#{k - 2}")
+    with scope(f"{name}#{k}"):
+        yield
+
+
 @atexit.register
 def _drop_own() -> None:
     import shutil

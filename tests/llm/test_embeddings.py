@@ -35,9 +35,12 @@ def sample():
     return [(int(i), x) for i, x in zip(order, rows)]
 
 
-@pytest.mark.parametrize("block", [1024, 8])
-def test_components_equal_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,chunk,fewest", [(8192, 100_000, 256), (8, 100_000, 256), (8, 5, 256), (8192, 100_000, 4096)])
+def test_components_equal_brute_force(spark, monkeypatch, block, chunk, fewest):
+    """Blocks of units, parts of inverted lists and the larger index are made to occur on a small table."""
     monkeypatch.setattr(embeddings, "BLOCK", block)
+    monkeypatch.setattr(embeddings, "CHUNK", chunk)
+    monkeypatch.setattr(embeddings, "FEWEST", fewest)
     rows = sample()
     df = spark.createDataFrame([(d, v, 1, 2, "x") for d, v in rows], "vec_id long, embedding array<float>, label int, n int, vec string")
     got = embedding_components(df)
@@ -50,3 +53,26 @@ def test_recall_on_a_table(spark):
     sf = "/root/testdata/sf0.01"
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     assert sorted(map(tuple, op9_embeddings(spark, sf).collect())) == brute(rows)
+
+
+@pytest.mark.parametrize("n", [1000, 100_000, 10**7, 10**12])
+@pytest.mark.parametrize("dim", [16, 64, 256])
+def test_recall_at_the_threshold(n, dim):
+    """Pairs at a cosine of 0.95 to 0.96 that share enough pivots, at the index sizes of small and of huge inputs."""
+    count, listed = embeddings.index_size(n)
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((400, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = rng.standard_normal(x.shape)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    c = rng.uniform(0.95, 0.96, (400, 1))
+    a, b = (embeddings.permutations_of(y, count, listed) for y in (x, c * x + np.sqrt(1 - c * c) * z))
+    shared = (a[:, :, None] == b[:, None, :]).any(axis=2).sum(axis=1)
+    assert (shared >= embeddings.SHARED).mean() >= 0.95
+
+
+def test_rows_without_an_id(spark):
+    v = [1.0, 2.0, 3.0]
+    df = spark.createDataFrame([(None, v), (None, [-1.0, 5.0, 0.5]), (None, [-1.0, 5.0, 0.5001]), (4, [1.0, 2.0, 3.0001])], "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, embedding_components(df).collect()), key=str) == [(4, 1, 4, True), (None, 1, 4, False), (None, 1, None, False), (None, 1, None, False)]
