@@ -34,6 +34,17 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _OWN_DIR[0]
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores before those that a column has already (whatever its case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 #: Rows of whole texts that go to a Python worker at once, where the session has no number of its own.
 BATCH_ROWS = 1_000
 

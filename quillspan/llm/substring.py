@@ -5,18 +5,17 @@ equal windows have equal anchors. The steps:
 
 1. Count anchors over all documents; those that occur again are marked in a bitmap of fixed size. A clash of bits, or
    a bitmap that fills up, only lets more segments through.
-2. Each occurrence of a marked anchor gives a segment: the words of the windows that picked it. Equal segments (by
-   anchor and a hash of their words, 122 bits) are collapsed by partial aggregation to one text and a count, and the
-   windows of the distinct segments are counted by (anchor, window) hash: those seen twice are confirmed as recurring.
-3. Distinct segments are dealt to shards by anchor. A shard compiles an Aho-Corasick automaton over words from its
-   confirmed passages (maximal runs of recurring windows) and streams its segments through it, which locates every
-   occurrence, word for word.
-4. The located ranges go back to the occurrences of their segments and so to the documents. A task that meets a
-   segment again needs no count to know that it recurs: only the first occurrence in each task takes this way.
-
-Shards of a frequent anchor are split by salt: its passages go to each split, its segments are dealt out. A segment
-that occurs everywhere is one row in the counts and the shards, and AQE can split the join that brings its ranges
-back. No step holds all occurrences of anything in one task.
+2. Each document is cut into segments, the words of the windows that picked a marked anchor, and the segments are dealt
+   to shards by anchor. What is left out has no window that could recur.
+3. A shard confirms its recurring passages: windows that start in two places are joined to the longest runs whose
+   windows occur together wherever one of them does, and each run is cut from the first text that has it, once.
+4. The passages are compiled to an Aho-Corasick automaton over words, and all segments of the shard are streamed through
+   it: it finds every occurrence, word for word. The ranges go back to the documents.
+
+A task that meets an equal segment again (two 64-bit hashes) sends its count alone, and knows that its words recur.
+Anchors with more segments than a task can hold are first collapsed to distinct segments; if there still are too many
+different ones (a frequent phrase in ever new surroundings), their windows are counted one by one over the cluster
+(two 64-bit hashes each) and joined back. No step holds all occurrences of anything in one task.
 """
 
 from __future__ import annotations
@@ -33,14 +32,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .editprint import _mix
-from .shared import materialize
-from .words import gather, slices, split_words
+from .shared import materialize, unused
+from .words import gather, give_back, slices, split_words
 
 WINDOW, PHRASE = 35, 8
 #: Bits of the bitmap of recurring anchors: 16 MB, whatever the input.
 BITS = 1 << 27
-#: Distinct segments to a task on average, those compiled and streamed at a time, and those a task remembers to have sent.
-TASK_SEGMENTS, CHUNK, SENT = 30_000, 8_000, 200_000
+#: Segments to a task on average, those of whole anchors compiled and streamed at a time, those of one anchor at most,
+#: and those a task remembers to have sent.
+TASK_SEGMENTS, CHUNK, HOT, SENT = 60_000, 8_000, 20_000, 200_000
 _B = [pow(0x9E3779B97F4A7C15, m, 1 << 64) for m in range(WINDOW)]
 _INVERSE = pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
@@ -146,6 +146,16 @@ def _bitmap(spark: SparkSession, counts: DataFrame) -> bytes:
     return out.tobytes()
 
 
+def _equal(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Groups of equal keys: the first index of each, the group of each index, and the groups' sizes."""
+    o = np.lexsort(keys[::-1])
+    new = np.r_[True, np.logical_or.reduce([k[o][1:] != k[o][:-1] for k in keys])] if len(o) else np.zeros(0, bool)
+    of = np.empty(len(o), np.int64)
+    of[o] = np.cumsum(new) - 1
+    start = np.flatnonzero(new)
+    return (np.minimum.reduceat(o, start) if len(o) else start), of, np.bincount(of, minlength=len(start))
+
+
 SEGMENTS = "anchor long, span long, n long, doc_id long, text_key long, first int, stop int, seg string"
 
 
@@ -159,7 +169,7 @@ def _segments(docs: DataFrame, text: str, key: str, bitmap) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(bitmap.value, dtype=np.uint64)
-        sent: set[int] = set()
+        sent: set[tuple[int, int]] = set()
         for part, words in _slices(batches, 2):
             anchor, start, n = words.anchors()
             at = anchor.view(np.uint64) & np.uint64(BITS - 1)
@@ -169,11 +179,12 @@ def _segments(docs: DataFrame, text: str, key: str, bitmap) -> DataFrame:
             anchor, start, size = anchor[hit], start[hit], n[hit] + WINDOW - 1
             span = words.spans(start, size)
             row = np.searchsorted(words.offsets, start, side="right") - 1
-            each, one, of, count = np.unique(_mix(anchor.view(np.uint64) ^ _mix(span.view(np.uint64))), return_index=True, return_inverse=True, return_counts=True)
+            one, of, count = _equal(anchor, span)
             if len(sent) > SENT:
                 sent = set()
-            old = np.fromiter((k in sent for k in each.tolist()), bool, len(each))
-            sent.update(each[~old].tolist())
+            each = list(zip(anchor[one].tolist(), span[one].tolist()))
+            old = np.fromiter((k in sent for k in each), bool, len(each))
+            sent.update(compress(each, (~old).tolist()))
             place = np.where(old, -1, np.cumsum(~old) - 1)
             seg = words.joined(start[one[~old]], size[one[~old]]).take(pa.array(place, mask=old))
             again = old[of] | (np.arange(len(of)) != one[of])
@@ -194,95 +205,123 @@ def _segments(docs: DataFrame, text: str, key: str, bitmap) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("doc_id"), text_key(text).alias("text_key"), F.col(text).cast("string").alias("t")).mapInArrow(run, SEGMENTS)
 
 
-def _distinct(segments: DataFrame) -> DataFrame:
-    """``(anchor, span, n, seg)``: the distinct segments and how often they occur."""
-    return segments.where("anchor is not null").groupBy("anchor", "span").agg(F.sum("n").alias("n"), F.first("seg", ignorenulls=True).alias("seg"))
-
-
-def _recurring(distinct: DataFrame) -> DataFrame:
-    """``(anchor, h)`` of windows that start in two places at least."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, words in _slices(batches, 2):
-            at, h = words.window_hashes()
-            row = pa.array(np.searchsorted(words.offsets, at, side="right") - 1)
-            yield pa.RecordBatch.from_arrays([part.column(0).take(row), pa.array(h, pa.int64()), part.column(1).take(row)], names=["anchor", "h", "n"])
-
-    return distinct.select("anchor", "n", "seg").mapInArrow(run, "anchor long, h long, n long").groupBy("anchor", "h").agg(F.sum("n").alias("n")).where("n > 1").select("anchor", "h")
-
+def passages(words: Words, anchor: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Confirmed passages of distinct segments (of whole anchors), as runs [start, stop) of ``words``.
 
-def locate(words: list[list], passages: set[tuple]) -> list[list[tuple[int, int]]]:
-    """Word ranges [start, stop) of every occurrence of the passages in each word list, merged where they overlap."""
-    number: dict = {}
+    A window recurs if it starts in two places, ``n`` being how often a segment occurs. Consecutive windows are joined
+    if they follow one another wherever either occurs. A passage is cut from the first segment that has it; the other
+    places are left for the automaton to find.
+    """
+    at, h = words.window_hashes()
+    if not len(at):
+        return at, at
+    row = np.searchsorted(words.offsets, at, side="right") - 1
+    first, of, size = _equal(anchor[row], h)
+    total = np.bincount(of, n[row], len(first))
+    follows = np.r_[(at[1:] == at[:-1] + 1) & (row[1:] == row[:-1]), False]
+    after = np.where(follows, np.r_[of[1:], 0], -1)  # the window that comes next in the same segment
+    low, high = np.full(len(first), len(first)), np.full(len(first), -1)
+    np.minimum.at(low, of, after)
+    np.maximum.at(high, of, after)
+    recurs = total > 1
+    joined = (low == high) & (low >= 0)  # always followed by one and the same window
+    joined[joined] = (size[low[joined]] == size[joined]) & recurs[low[joined]]
+    own = np.sort(first[recurs])  # windows of passages, each where it occurs first
+    if not len(own):
+        return own, own
+    goes_on = np.r_[False, (own[1:] == own[:-1] + 1) & joined[of[own[:-1]]]]
+    begin = np.flatnonzero(~goes_on)
+    end = np.r_[begin[1:], len(own)] - 1
+    return at[own[begin]], at[own[end]] + WINDOW
+
+
+def locate(codes: np.ndarray, offsets: np.ndarray, found: list[tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(text, start, stop)``: word ranges of every occurrence of the passages in the texts, merged where they overlap.
+
+    Text i has the word numbers ``codes[offsets[i]:offsets[i + 1]]``; all texts are streamed in one pass.
+    """
+    none = np.zeros(0, np.int64)
+    if not found:
+        return none, none, none
     automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-    for p in passages:
-        automaton.add_word(tuple([number.setdefault(w, len(number)) for w in p]))
+    for p in found:
+        automaton.add_word(p)
     automaton.make_automaton()
-    out, none = [], len(number)
-    for ws in words:
-        found: list[tuple[int, int]] = []
-        for last, size in sorted(automaton.iter(tuple([number.get(w, none) for w in ws])), key=lambda x: x[0] - x[1]):
-            start, stop = last + 1 - size, last + 1
-            if found and start <= found[-1][1]:
-                found[-1] = (found[-1][0], max(stop, found[-1][1]))
-            else:
-                found.append((start, stop))
-        out.append(found)
-    return out
-
-
-def _located(segments: pa.RecordBatch, known: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Ranges of the passages confirmed by ``known`` (sorted window hashes) in ``(anchor, span, seg)``."""
-    words = Words(segments.column(2))
-    at, h = words.window_hashes()
-    hit = np.zeros(len(words.codes) + 1, bool)
-    if len(known):
-        hit[at] = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
-    # windows of one segment are consecutive and those of the next start 35 words on, so runs stay within segments
-    edge = np.flatnonzero(np.diff(np.r_[False, hit]))
+    wall = int(codes.max()) + 1  # between texts, in no passage
+    hits = list(automaton.iter(tuple(np.insert(codes, offsets[1:-1], wall).tolist())))
+    if not hits:
+        return none, none, none
+    last, size = np.array(hits, np.int64).T
+    begins = offsets[:-1] + np.arange(len(offsets) - 1)  # with the walls before
+    text = np.searchsorted(begins, last, side="right") - 1
+    start, stop = last + 1 - size, last + 1
+    o = np.argsort(start, kind="stable")
+    text, start, stop = text[o], start[o], stop[o]
+    reach = np.maximum.accumulate(stop)
+    new = np.r_[True, start[1:] > reach[:-1]]  # the wall keeps texts apart
+    end = np.r_[np.flatnonzero(new)[1:] - 1, len(new) - 1]
+    return text[new], start[new] - begins[text[new]], reach[end] - begins[text[new]]
+
+
+def _located(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Ranges of the recurring passages in segments ``(anchor, span, n, seg)`` of whole anchors, sorted by the first two."""
+    anchor, span, n = (rows.column(i).to_numpy() for i in range(3))
+    new = np.r_[True, (anchor[1:] != anchor[:-1]) | (span[1:] != span[:-1])]
+    start = np.flatnonzero(new)
+    seg = rows.column(3).combine_chunks()
+    full = np.where(seg.is_valid().to_numpy(zero_copy_only=False), np.arange(len(anchor)), len(anchor))
+    words = Words(seg.take(pa.array(np.minimum.reduceat(full, start))))
+    anchor, span, n = anchor[start], span[start], np.add.reduceat(n, start)
     codes = words.codes.tolist()
-    passages = {tuple(codes[s : e + WINDOW - 1]) for s, e in zip(edge[::2].tolist(), edge[1::2].tolist())}
-    if not passages:
-        return
-    o = words.offsets.tolist()
-    rows = [(i, s, e) for i, found in enumerate(locate([codes[a:b] for a, b in zip(o, o[1:])], passages)) for s, e in found]
-    if rows:
-        i, s, e = zip(*rows)
-        i = pa.array(i)
-        yield pa.RecordBatch.from_arrays([segments.column(0).take(i), segments.column(1).take(i), pa.array(s, pa.int32()), pa.array(e, pa.int32())], names=["anchor", "span", "start", "stop"])
+    found = [tuple(codes[s:e]) for s, e in zip(*(x.tolist() for x in passages(words, anchor, n)))]
+    text, first, stop = locate(words.codes, words.offsets, found)
+    if len(text):
+        yield pa.RecordBatch.from_arrays([pa.array(anchor[text]), pa.array(span[text]), pa.array(first, pa.int32()), pa.array(stop, pa.int32())], names=["anchor", "span", "start", "stop"])
 
 
 def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each part first the recurring windows (kind 0), then the distinct segments (kind 1)."""
-    part: int | None = None
-    hashes: list[np.ndarray] = []
-    known: np.ndarray | None = None
+    """Segments in order of anchor; some thousand of them, of whole anchors, at a time."""
     held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) < CHUNK:
+            continue
+        rows = pa.Table.from_batches(held).combine_chunks()
+        anchor = rows.column(0).to_numpy()
+        cut = int(np.searchsorted(anchor, anchor[-1]))
+        if cut:
+            for i in _cuts(anchor[:cut]):
+                yield from _located(rows.slice(*i))
+            held = rows.slice(cut).to_batches()
+    if sum(x.num_rows for x in held):
+        rows = pa.Table.from_batches(held).combine_chunks()
+        for i in _cuts(rows.column(0).to_numpy()):
+            yield from _located(rows.slice(*i))
+    give_back()
+
+
+def _cuts(anchor: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Parts (start, length) of some CHUNK rows that end where an anchor ends."""
+    at = 0
+    while at < len(anchor):
+        end = at + CHUNK
+        end = len(anchor) if end >= len(anchor) else int(np.searchsorted(anchor, anchor[end - 1], side="right"))
+        yield at, end - at
+        at = end
+
+
+def _windows(segments: DataFrame) -> DataFrame:
+    """``(anchor, span, n, start, h, g)``: the windows of segments, told by two hashes."""
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        nonlocal known
-        if held:
-            if known is None:
-                known = np.sort(np.concatenate(hashes)) if hashes else np.zeros(0, np.int64)
-            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held.clear()
-            yield from _located(whole, known)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, words in _slices(batches, 3):
+            at, h = words.window_hashes()
+            row = np.searchsorted(words.offsets, at, side="right") - 1
+            g = words.spans(at, np.full(len(at), WINDOW)) if len(at) else h
+            of = pa.array(row)
+            yield pa.RecordBatch.from_arrays([*(part.column(i).take(of) for i in range(3)), pa.array(at - words.offsets[row], pa.int32()), pa.array(h, pa.int64()), pa.array(g, pa.int64())], names=["anchor", "span", "n", "start", "h", "g"])
 
-    for b in batches:
-        parts, kinds = (b.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-        cuts = np.flatnonzero(np.r_[True, (parts[1:] != parts[:-1]) | (kinds[1:] != kinds[:-1])]) if len(parts) else []
-        for i, j in zip(cuts, [*cuts[1:], len(parts)]):
-            if parts[i] != part:
-                yield from flush()
-                part, hashes, known = int(parts[i]), [], None
-            if kinds[i] == 0:
-                hashes.append(b.column(3).slice(i, j - i).to_numpy(zero_copy_only=False))
-                continue
-            for k in range(i, j, CHUNK):
-                held.append(b.slice(k, min(CHUNK, j - k)).select(["anchor", "h", "seg"]))
-                if sum(x.num_rows for x in held) >= CHUNK:
-                    yield from flush()
-    yield from flush()
+    return segments.select("anchor", "span", "n", "seg").mapInArrow(run, "anchor long, span long, n long, start int, h long, g long")
 
 
 def repeated_ranges(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -290,19 +329,22 @@ def repeated_ranges(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     spark = docs.sparkSession
     bitmap = spark.sparkContext.broadcast(_bitmap(spark, _anchor_counts(docs, text)))
     segments = materialize(_segments(docs, text, key, bitmap), "segments")
-    distinct = materialize(_distinct(segments), "distinct")
-    recurring = materialize(_recurring(distinct), "recurring")
-    n = distinct.count()
-    shards = max(1, -(-n // TASK_SEGMENTS), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int")
-    sizes = dict(distinct.groupBy(shard.alias("s")).count().collect())  # a row for each shard
-    splits = [max(1, -(-sizes.get(s, 0) * 2 // (3 * max(1, n // shards + 1)))) for s in range(shards)]  # 1 for a shard of up to 1.5 times the mean
-    base = np.r_[0, np.cumsum(splits)].tolist()
-    bases, many = (F.expr(f"element_at(array({', '.join(map(str, x))}), shard + 1)") for x in (base[:-1], splits))
-    left = recurring.withColumn("shard", shard).select(F.explode(F.sequence(bases, bases + many - 1)).alias("part"), F.lit(0).alias("kind"), "anchor", "h", F.lit(None).cast("string").alias("seg"))
-    right = distinct.withColumn("shard", shard).select((bases + F.pmod("span", many)).cast("int").alias("part"), F.lit(1).alias("kind"), "anchor", F.col("span").alias("h"), "seg")
-    dealt = left.unionByName(right).repartitionById(base[-1], F.col("part")).sortWithinPartitions("part", "kind")
-    located = dealt.mapInArrow(_shard, "anchor long, span long, start int, stop int")
+    bitmap.destroy()
+    rows = segments.where("anchor is not null").select("anchor", "span", "n", "seg")
+    busy = materialize(rows.groupBy("anchor").agg(F.count("*").alias("m")).where(f"m > {HOT}").select("anchor"), "busy")
+    exact = None
+    if not busy.isEmpty():
+        # collapsed over all tasks; what then is in reach of a task goes the same way as the rest
+        distinct = rows.join(busy, "anchor", "left_semi").groupBy("anchor", "span").agg(F.sum("n").alias("n"), F.first("seg", ignorenulls=True).alias("seg"))
+        distinct = materialize(distinct, "distinct")
+        hot = distinct.groupBy("anchor").agg(F.count("*").alias("m")).where(f"m > {HOT}").select("anchor")
+        rows = rows.join(busy, "anchor", "left_anti").unionByName(distinct.join(hot, "anchor", "left_anti"))
+        windows = _windows(distinct.join(hot, "anchor", "left_semi"))
+        again = windows.groupBy("h", "g").agg(F.sum("n").alias("m")).where("m > 1").select("h", "g")
+        exact = windows.join(again, ["h", "g"], "left_semi").selectExpr("anchor", "span", "start", f"start + {WINDOW} AS stop")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-segments.count() // TASK_SEGMENTS))
+    located = rows.repartition(tasks, "anchor").sortWithinPartitions("anchor", "span").mapInArrow(_shard, "anchor long, span long, start int, stop int")
+    located = located.unionByName(exact) if exact is not None else located
     open_ = segments.where("anchor is not null and first is not null").select("anchor", "span", "doc_id", "text_key", "first")
     ranges = open_.join(located, ["anchor", "span"]).selectExpr("doc_id", "text_key", "first + start AS start", "first + stop AS stop")
     return segments.where("anchor is null").selectExpr("doc_id", "text_key", "first AS start", "stop").unionByName(ranges)
@@ -317,13 +359,14 @@ def drop_repeated(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
     (rows with equal id and text recur in one another). Columns named like the three new ones are replaced. Empty in,
     empty out.
     """
-    found = repeated_ranges(docs, text, key).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
-    own = docs.select([c for c in docs.columns if c not in ("n_words", "n_removed", "kept")])
-    own = own.withColumns({"_id": F.coalesce(F.col(key).cast("long"), F.lit(-(2**63) + 1)), "_key": text_key(text)})
-    found = found.select(F.coalesce("doc_id", F.lit(-(2**63) + 1)).alias("_id"), F.col("text_key").alias("_key"), F.col("ranges").alias("_ranges"))
-    joined = own.join(found, ["_id", "_key"], "left").drop("_id", "_key")
+    id_, own_key, own_ranges = unused(docs.columns, "id", "text_key", "ranges")
+    ranges = repeated_ranges(docs, text, key).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
+    own = docs.select([F.col(f"`{c}`") for c in docs.columns if c not in ("n_words", "n_removed", "kept")])
+    own = own.withColumns({id_: F.coalesce(F.col(key).cast("long"), F.lit(-(2**63) + 1)), own_key: text_key(text)})
+    ranges = ranges.select(F.coalesce("doc_id", F.lit(-(2**63) + 1)).alias(id_), F.col("text_key").alias(own_key), F.col("ranges").alias(own_ranges))
+    joined = own.join(ranges, [id_, own_key], "left").drop(id_, own_key)
     at, n = joined.columns.index(text), len(joined.columns) - 1
-    keep = [c for c in joined.columns if c != "_ranges"]
+    keep = [c for c in joined.columns if c != own_ranges]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, at):
@@ -338,5 +381,5 @@ def drop_repeated(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
             c = list(zip(*rows)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.string())], names=[*keep, "n_words", "n_removed", "kept"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.select(keep).schema)
-    return joined.select(*keep, "_ranges").mapInArrow(run, f"{fields}, n_words long, n_removed long, kept string")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name != own_ranges)
+    return joined.select(*[F.col(f"`{c}`") for c in keep], own_ranges).mapInArrow(run, f"{fields}, n_words long, n_removed long, kept string")

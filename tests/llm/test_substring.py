@@ -3,9 +3,12 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from quillspan.llm.queries import op8_substrings
-from quillspan.llm.substring import WINDOW, _run_hashes, drop_repeated, locate
+from quillspan.llm import substring
+from quillspan.llm.substring import WINDOW, Words, _run_hashes, drop_repeated, locate, passages
 
 
 def brute(rows):
@@ -35,19 +38,43 @@ def test_run_hashes_depend_on_their_words_alone():
 
 
 def test_locate_finds_overlapping_passages():
-    assert locate([list(map(str, range(9))), ["x"]], {("1", "2", "3"), ("3", "4"), ("7",), ("4", "9")}) == [[(1, 5), (7, 8)], []]
+    got = locate(np.array([*range(9), 20, 1, 2]), np.array([0, 9, 10, 12]), [(1, 2, 3), (3, 4), (7,), (4, 9)])
+    assert [x.tolist() for x in got] == [[0, 0], [1, 7], [5, 8]]
+    assert not len(locate(np.array([1]), np.array([0, 1]), [])[0])
 
 
-def test_drop_repeated_equals_brute_force(spark):
+def test_the_automaton_finds_what_no_passage_was_cut_from():
+    """Windows that recur are cut to passages where they occur first; all other places are found by the automaton alone."""
+    rnd = random.Random(8)
+    word = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    core = word(50)
+    texts = [core[:44] + word(9), word(9) + core[3:], word(5) + core[6:45], word(60)]
+    words = Words(pa.array([" ".join(t) for t in texts]))
+    start, stop = passages(words, np.zeros(4, np.int64), np.ones(4, np.int64))
+    codes = words.codes.tolist()
+    text, first, last = locate(words.codes, words.offsets, [tuple(codes[s:e]) for s, e in zip(start, stop)])
+    marked = set(np.searchsorted(words.offsets, start, side="right") - 1)
+    assert 2 not in marked and 2 in text  # the third text holds no window that is not in one before it
+    got = {i: set() for i in range(4)}
+    for i, s, e in zip(text, first, last):
+        got[i] |= set(range(s, e))
+    want = {i: {k for s in range(len(t) - WINDOW + 1) if sum(t[s : s + WINDOW] == u[j : j + WINDOW] for u in texts for j in range(len(u))) > 1 for k in range(s, s + WINDOW)} for i, t in enumerate(texts)}
+    assert got == want
+
+
+@pytest.mark.parametrize("hot", [20_000, 2])
+def test_drop_repeated_equals_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(substring, "HOT", hot)  # 2: most anchors have more segments than a task may hold
     rnd = random.Random(4)
     word = lambda n: " ".join(rnd.choice("abcdefgh") + str(rnd.randrange(50)) for _ in range(n))
     shared = [word(n) for n in (34, 35, 36, 60, 150)]
     rows = [(i, "\n".join([word(rnd.randrange(60)), rnd.choice(shared), word(rnd.randrange(60)), rnd.choice(shared)])) for i in range(150)]
     rows += [(i, word(80)) for i in range(200, 220)]
     rows += [(300, None), (301, ""), (302, " \t\n "), (303, "é " * 100), (304, "one two"), (305, rows[3][1]), (305, rows[3][1]), (None, rows[4][1]), (307, shared[4] + " " + shared[4])]
-    df = spark.createDataFrame([(d, t, 7, 8, 9, "k") for d, t in rows], "doc_id long, text string, n_words int, start int, anchor int, kept string")
+    clash = ["start", "stop", "anchor", "span", "seg", "first", "id", "ID_", "text_key", "ranges", "_ranges", "_id", "_key", "t", "n"]
+    df = spark.createDataFrame([(d, t, 7, "k", *range(len(clash))) for d, t in rows], "doc_id long, text string, n_words int, kept string, " + ", ".join(f"`{c}` int" for c in clash))
     got = drop_repeated(df)
-    assert got.columns == ["doc_id", "text", "start", "anchor", "n_words", "n_removed", "kept"]
+    assert got.columns == ["doc_id", "text", *clash, "n_words", "n_removed", "kept"]
     assert sorted(map(tuple, got.select("doc_id", "n_words", "n_removed", "kept").collect()), key=str) == brute(rows)
     assert drop_repeated(df.where("false")).count() == 0
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # a task meets segments again in later parts
