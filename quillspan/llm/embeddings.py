@@ -131,41 +131,43 @@ def _postings(described: DataFrame, count: int, listed: int) -> DataFrame:
     return described.select("rep", F.expr("cast((octet_length(vec) - 1) / IF(substring(vec, 1, 1) = X'66', 4, 8) AS int)").alias("dim"), "top").mapInArrow(run, "list long, rep long, top binary")
 
 
-def members_of_list(number: int, rep: np.ndarray, top: np.ndarray, count: int, whole: bool) -> tuple[np.ndarray, np.ndarray]:
-    """``(unit, rep)`` of an inverted list: its members by each third pivot that several share.
+def members_of_lists(number: np.ndarray, rep: np.ndarray, top: np.ndarray, count: int, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+    """``(unit, rep)`` of inverted lists (``number`` sorted): their members by each third pivot that several share.
 
     A unit in which every two members share a lower pivot too is left out: its pairs are counted in another unit. Of a
     list that is not ``whole`` (a part of a very long one) all members of all units are given.
     """
-    q = number % count
-    p = number // count % count
-    row, col = np.nonzero(top > q)
-    third = top[row, col].astype(np.int64)
-    o = np.argsort(third, kind="stable")
-    row, col, third = row[o], col[o], third[o]
-    if whole:
-        start = np.flatnonzero(np.r_[True, third[1:] != third[:-1]]) if len(third) else np.zeros(0, np.int64)
-        size = np.diff(np.r_[start, len(third)])
-        keep = np.zeros(len(third), bool)
-        for s, m in zip(start[size > 1], size[size > 1]):
-            r, t = row[s : s + m], third[s]
-            # pivots below the third one, but for the two of the list
-            lower = np.where((top[r] < t) & (top[r] != p) & (top[r] != q), top[r], -1)
-            sets, of = np.unique(lower, axis=0, return_inverse=True)
-            of = of.ravel()
-            if (sets[0] == -1).all():  # some member shares no other lower pivot with anybody
-                keep[s : s + m] = True
-                continue
-            if len(sets) > 512:  # many kinds: all stay, and the pairs are sorted out when they are verified
-                keep[s : s + m] = True
-                continue
-            met = np.zeros((len(sets), len(sets)), bool)
-            for x in np.unique(sets[sets >= 0]):
-                has = (sets == x).any(axis=1)
-                met |= has[:, None] & has[None, :]
-            keep[s : s + m] = (~met).any(axis=1)[of]
-        row, third = row[keep], third[keep]
-    return number * count + third, rep[row]
+    if whole:  # lists of one member are done with
+        same = np.r_[number[1:] == number[:-1], False]
+        met = same | np.r_[False, same[:-1]]
+        number, rep, top = number[met], rep[met], top[met]
+    row, col = np.nonzero(top > (number % count)[:, None])
+    unit = number[row] * count + top[row, col]
+    o = np.argsort(unit, kind="stable")
+    row, unit = row[o], unit[o]
+    if not whole or not len(unit):
+        return unit, rep[row]
+    start = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
+    size = np.diff(np.r_[start, len(unit)])
+    keep = np.zeros(len(unit), bool)
+    for s, m in zip(start[size > 1].tolist(), size[size > 1].tolist()):
+        r, t = top[row[s : s + m]], unit[s] % count
+        q, p = unit[s] // count % count, unit[s] // count // count % count
+        lower = np.where((r < t) & (r != p) & (r != q), r, -1)  # pivots below the third one, but for the two of the list
+        if m == 2:
+            keep[s : s + 2] = not np.intersect1d(lower[0][lower[0] >= 0], lower[1]).size
+            continue
+        sets, of = np.unique(lower, axis=0, return_inverse=True)
+        if (sets[0] == -1).all() or len(sets) > 512:
+            # some member has no lower pivot, or there are many kinds: all stay, the pairs are sorted out when verified
+            keep[s : s + m] = True
+            continue
+        shared = np.zeros((len(sets), len(sets)), bool)
+        for x in np.unique(sets[sets >= 0]):
+            has = (sets == x).any(axis=1)
+            shared |= has[:, None] & has[None, :]
+        keep[s : s + m] = (~shared).any(axis=1)[of.ravel()]
+    return unit[keep], rep[row[keep]]
 
 
 def _memberships(postings: DataFrame, count: int, listed: int, tasks: int) -> DataFrame:
@@ -173,35 +175,41 @@ def _memberships(postings: DataFrame, count: int, listed: int, tasks: int) -> Da
     dealt = postings.repartition(tasks, "list").sortWithinPartitions("list")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        at, size, whole = None, 0, True
+        held: list[list[np.ndarray]] = []
+        partial: int | None = None  # a list of which a part has been given already
 
         def flush(end: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, size, whole
-            if held and (size > 1 or not whole or not end):
-                whole &= end
-                unit, rep = members_of_list(at, np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), count, whole)
+            """Lists that are complete, and of one that is longer than CHUNK what is there of it."""
+            nonlocal held, partial
+            key, rep, top = (np.concatenate(x) for x in zip(*held))
+            parts = []
+            if partial is not None:
+                cut = int(np.searchsorted(key, partial, side="right"))
+                parts.append((slice(0, cut), False))
+            else:
+                cut = 0
+            last = len(key) if end else max(cut, int(np.searchsorted(key, key[-1])))
+            parts.append((slice(cut, last), True))
+            if last < len(key) - CHUNK // 2 or partial == key[-1]:  # the last list is very long
+                partial = int(key[-1])
+                parts.append((slice(last, len(key)), False))
+                last = len(key)
+            elif cut < len(key):
+                partial = None
+            held = [[key[last:], rep[last:], top[last:]]] if last < len(key) else []
+            for part, whole in parts:
+                unit, members = members_of_lists(key[part], rep[part], top[part], count, whole)
                 if len(unit):
-                    yield pa.RecordBatch.from_arrays([pa.array(unit), pa.array(rep)], names=["unit", "rep"])
-            held, size = [], 0
-            if end:
-                whole = True
+                    yield pa.RecordBatch.from_arrays([pa.array(unit), pa.array(members)], names=["unit", "rep"])
 
         for b in batches:
-            if not b.num_rows:
-                continue
-            key, rep = (b.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-            top = np.frombuffer(b"".join(b.column(2).to_pylist()), np.int16).reshape(-1, listed)
-            cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            for s, e in zip(cuts, [*cuts[1:], len(key)]):
-                if int(key[s]) != at:
-                    yield from flush(True)
-                    at = int(key[s])
-                held.append((rep[s:e], top[s:e]))
-                size += e - s
-                if size >= CHUNK:
+            if b.num_rows:
+                top = np.frombuffer(b"".join(b.column(2).to_pylist()), np.int16).reshape(-1, listed)
+                held.append([b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), top])
+                if sum(len(h[0]) for h in held) >= CHUNK:
                     yield from flush(False)
-        yield from flush(True)
+        if held:
+            yield from flush(True)
 
     return dealt.mapInArrow(run, "unit long, rep long")
 

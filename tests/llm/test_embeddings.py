@@ -55,6 +55,34 @@ def test_recall_on_a_table(spark):
     assert sorted(map(tuple, op9_embeddings(spark, sf).collect())) == brute(rows)
 
 
+def test_parts_of_long_lists_lose_no_pair():
+    rng = np.random.default_rng(2)
+    count = 40
+    top = np.sort(np.stack([rng.permutation(count)[:8] for _ in range(300)]), axis=1).astype(np.int16)
+    top[100:] = top[rng.integers(0, 100, 200)]
+    rep = np.arange(300)
+    pairs = {}
+    for i in range(7):
+        for j in range(i + 1, 7):
+            for k in range(300):
+                pairs.setdefault((int(top[k, i]) * count + int(top[k, j])), []).append(k)
+    number = np.concatenate([np.full(len(v), k) for k, v in sorted(pairs.items())])
+    member = np.concatenate([v for _, v in sorted(pairs.items())])
+    want = {}
+    for a in range(300):
+        for b in range(a):
+            low = np.intersect1d(top[a], top[b])[:3]
+            if len(low) == 3:
+                want.setdefault(int(low[0] * count + low[1]) * count + int(low[2]), set()).update((a, b))
+    for whole in (True, False):
+        unit, who = embeddings.members_of_lists(number, rep[member], top[member], count, whole)
+        got = {}
+        for u, r in zip(unit.tolist(), who.tolist()):
+            got.setdefault(u, set()).add(r)
+        assert all(v <= got.get(u, set()) for u, v in want.items())
+        assert whole is False or sum(map(len, got.values())) < 2 * sum(map(len, want.values()))
+
+
 @pytest.mark.parametrize("n", [1000, 100_000, 10**7, 10**12])
 @pytest.mark.parametrize("dim", [16, 64, 256])
 def test_recall_at_the_threshold(n, dim):
