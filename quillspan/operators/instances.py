@@ -55,21 +55,30 @@ def instances(lines: DataFrame, gazetteer: DataFrame, common: DataFrame, english
                 text = F.lower("text") if s.fold_case else F.col("text")
                 line_parts.append(thresholds(coverage(l_lines.select("doc_id", "lineno", text.alias("text")), candidates, own, kind, n, s.morpheme_delimiter, trim), feature))
     base = l_lines.select("doc_id", "span_id", "span_ord", "lineno").join(candidates, "doc_id")
-    gather = lambda df, keys: df.groupBy(*keys, "name", "code").agg(F.collect_set("feature").alias("f"))  # noqa: E731  at most 104 names
-    out = base
-    for i, (df, keys) in enumerate(((per_doc, ["doc_id"]), (together(span_parts), ["doc_id", "span_ord"]), (together(line_parts) if line_parts else None, ["doc_id", "lineno"]))):
-        if df is not None:
-            out = out.join(gather(df, keys).withColumnRenamed("f", f"f{i}"), [*keys, "name", "code"], "left")
-        else:
-            out = out.withColumn(f"f{i}", F.lit(None).cast("array<string>"))
-    none = F.array().cast("array<string>")
-    feats = F.array_sort(F.array_union(F.array_union(F.coalesce("f0", none), F.coalesce("f1", none)), F.coalesce("f2", none)))
+    parts = [(per_doc, ["doc_id"]), (together(span_parts), ["doc_id", "span_ord"]), (together(line_parts) if line_parts else None, ["doc_id", "lineno"])]
+    out = with_features(base, parts)
     truth = gold(l_lines, s).drop("span_id")
-    out = out.withColumn("feats", feats).join(truth, LINE)
+    out = out.join(truth, LINE)
     label = (F.col("name") == F.col("gold_name")) & (F.col("code") == F.col("gold_code"))
     return out.select("doc_id", "span_id", "span_ord", "lineno", "name", "code", "cand_ord", label.alias("label"), "feats")
 
 
+def with_features(base: DataFrame, parts: list[tuple[DataFrame | None, list[str]]]) -> DataFrame:
+    """``base`` with ``feats``: the features, in order and each once, of each row's (name, code).
+
+    A part is ``(*keys, name, code, feature)`` with its keys (document, span or line); None is left out. Features are
+    gathered for each key (some hundred names at most) before they meet the rows.
+    """
+    none = F.array().cast("array<string>")
+    feats = none
+    for i, (df, keys) in enumerate(parts):
+        if df is not None:
+            own = df.groupBy(*keys, "name", "code").agg(F.collect_set("feature").alias(f"f{i}"))
+            base = base.join(own, [*keys, "name", "code"], "left")
+            feats = F.array_union(feats, F.coalesce(f"f{i}", none))
+    return base.withColumn("feats", F.array_sort(feats)).drop(*[f"f{i}" for i in range(len(parts))])
+
+
 def vectors(rows: DataFrame) -> DataFrame:
     """``(doc_id, value)``: a line of text for each instance, its id and its features."""
     ident = F.concat_ws("-", "doc_id", "span_id", "lineno", id_form(F.col("name")), "code")

@@ -40,6 +40,11 @@ def build_models(examples: DataFrame, nc: int = 3, nw: int = 2, splitter: str =
     return out.where("alone = 1 or name is not null").select("kind", "code", "name", "n", "gram", "n_times")
 
 
+def model_sizes(models: DataFrame) -> DataFrame:
+    """``(name, code, grams)``: how many different grams a pair's model has."""
+    return models.groupBy("name", "code").agg(F.count_distinct("gram").alias("grams"))
+
+
 def line_grams(lines: DataFrame, kind: str, n: int, splitter: str = r"[\s\-\=\+]+", trim: bool = True, text: str = "text") -> DataFrame:
     """The columns of ``lines`` but the text, and ``gram``: one row for each gram of each line, repeats included.
 
@@ -62,7 +67,8 @@ def coverage(lines: DataFrame, candidates: DataFrame, models: DataFrame, kind: s
     totals = grams.groupBy("doc_id", "lineno").agg(F.sum("k").alias("total"))
     own = models.select("name", "code", "gram").join(candidates.select("name", "code").distinct(), ["name", "code"], "left_semi").distinct()
     modelled = candidates.join(own.select("name", "code").distinct(), ["name", "code"], "left_semi")
-    hits = grams.join(modelled, "doc_id").join(own, ["name", "code", "gram"]).groupBy("doc_id", "lineno", "name", "code").agg(F.sum("k").alias("hits"))
+    # grams meet the models by gram first: most grams of a line are in few models, and candidates only narrow that down
+    hits = grams.join(own, "gram").join(modelled, ["doc_id", "name", "code"], "left_semi").groupBy("doc_id", "lineno", "name", "code").agg(F.sum("k").alias("hits"))
     return totals.join(modelled, "doc_id").join(hits, ["doc_id", "lineno", "name", "code"], "left").select("doc_id", "lineno", "name", "code", F.coalesce("hits", F.lit(0)).cast("long").alias("hits"), F.col("total").cast("long").alias("total"))
 
 

@@ -11,7 +11,7 @@ from ..config import FEATURES, Settings
 from ..functions import text as T
 from ..operators import evaluate, features, instances, learn, models, scoring, spans
 from ..operators.mentions import count_mentions, mentions, paired_lines
-from ..sources import resources
+from ..sources import annotated, resources
 from . import views as V
 from .views import EVENTS, GAZETTEER, LINES, PAIRS, core_sql, mentions_sql, table
 
@@ -220,8 +220,8 @@ lg AS (SELECT doc_id, lineno, gram FROM cg QUALIFY row_number() OVER (PARTITION
 }
 
 
-def _coverage_sql(kind: str, n: int) -> str:
-    return f"""WITH {_MODELS}, {_LINE_GRAMS[kind]},
+def _coverage_sql(kind: str, n: int, grams: str | None = None) -> str:
+    return f"""WITH {_MODELS}, {_LINE_GRAMS[grams or kind]},
 cov AS (SELECT l.doc_id, l.lineno, k.name, k.code, count(m.gram) AS hits, count(*) AS total FROM lg l JOIN known k ON k.doc_id = l.doc_id
   LEFT JOIN (SELECT DISTINCT name, code, gram FROM lm WHERE kind = '{kind}' AND n <= {n}) m ON m.name = k.name AND m.code = k.code AND m.gram = l.gram GROUP BY ALL)
 """
@@ -241,9 +241,18 @@ for _kind, _n, _trim in (("word", 1, True), ("character", 3, True), ("morpheme",
         lambda spark, d, k=_kind, n=_n, t=_trim: _coverage(spark, d, k, n, t).withColumn("share", F.round(F.col("hits") / F.col("total"), 6)))
 
 
-@query(_coverage_sql("character", 3) + "SELECT doc_id, lineno, name, code, 'L-LMc>' || printf('%.1f', i / 10.0) AS feature FROM cov, (SELECT unnest(range(1, 11)) AS i) WHERE hits * 10 >= i * total")
-def lm_thresholds(spark: SparkSession, d: str) -> DataFrame:
-    return models.thresholds(_coverage(spark, d, "character", 3), "L-LMc")
+_LINE_GRAMS["web"] = _LINE_GRAMS["character"].split("lg AS")[0] + "lg AS (SELECT doc_id, lineno, gram FROM cg)"
+for _name, _feature, _kind, _n, _trim, _grams in (
+    ("lm_thresholds", "L-LMc", "character", 3, True, "character"), ("lm_thresholds_word", "L-LMw", "word", 1, True, "word"), ("lm_thresholds_morph", "L-LMm", "morpheme", 2, False, "morpheme"),
+    ("lm_thresholds_web_char", "L-CR-LMc", "character", 3, False, "web"), ("lm_thresholds_web_word", "L-CR-LMw", "word", 1, True, "word"),
+):
+    query(_coverage_sql(_kind, _n, _grams) + f"SELECT doc_id, lineno, name, code, '{_feature}>' || printf('%.1f', i / 10.0) AS feature FROM cov, (SELECT unnest(range(1, 11)) AS i) WHERE hits * 10 >= i * total", _name)(
+        lambda spark, d, f=_feature, k=_kind, n=_n, t=_trim: models.thresholds(_coverage(spark, d, k, n, t), f))
+
+
+@query(f"WITH {_EXAMPLES}, {_COUNTED} SELECT name, code, count(DISTINCT gram) AS grams FROM g WHERE gram <> '' AND kind = 'character' AND n <= 3 GROUP BY ALL")
+def lm_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return models.model_sizes(models.build_models(_examples(spark, d)).where("kind = 'character' AND name IS NOT NULL"))
 
 
 # --- features --------------------------------------------------------------------------------------------------------
@@ -312,11 +321,25 @@ for _name, _feats in (
 query(_WIN + "SELECT * FROM wf WHERE starts_with(feature, 'W=')", "feat_window_wide")(lambda spark, d: _windows(spark, d).where(F.col("feature").startswith("W=")))
 
 
-@query(f"WITH {EVENTS} SELECT DISTINCT sp.doc_id, span_ord, name, code, 'T-in-line' AS feature FROM sp JOIN m ON m.doc_id = sp.doc_id AND (startline = top - 1 OR startline = bottom + 1)")
+#: Lines around a span that stand for those of each tag.
+_NEAR = {"L": ("top - 1", "bottom + 2"), "G": ("top - 2", "bottom + 1"), "T": ("top - 1", "bottom + 1"), "M": ("top - 3", "bottom + 3")}
+
+
+@query(f"WITH {EVENTS} " + " UNION ALL ".join(f"SELECT DISTINCT sp.doc_id, span_ord, name, code, '{x}-in-line' AS feature FROM sp JOIN m ON m.doc_id = sp.doc_id AND (startline = {a} OR startline = {b})" for x, (a, b) in _NEAR.items()))
 def feat_in_line(spark: SparkSession, d: str) -> DataFrame:
     e = V.event_lines(spark, d)
-    near = V.event_spans(e).select("doc_id", "span_ord", F.explode(F.array(F.col("top") - 1, F.col("bottom") + 1)).alias("lineno"))
-    return features.in_line(near, V.event_mentions(e), "T-in-line", ["doc_id", "span_ord"])
+    m, sp = V.event_mentions(e), V.event_spans(e)
+    near = lambda x: sp.select("doc_id", "span_ord", F.explode(F.array(*map(F.expr, _NEAR[x]))).alias("lineno"))
+    return features.together([features.in_line(near(x), m, f"{x}-in-line", ["doc_id", "span_ord"]) for x in _NEAR])
+
+
+@query("""WITH c AS (SELECT DISTINCT doc_id, CASE WHEN lang = 'en' THEN 'english' ELSE lang END AS name, CASE WHEN doc_id % 2 = 0 THEN 'eng' ELSE source END AS code FROM documents)
+SELECT doc_id, name, code, unnest(CASE WHEN name = 'english' AND code = 'eng' THEN ['GL-is-english', 'GL-possible-english-word'] WHEN name = 'english' THEN ['GL-possible-english-word'] ELSE [] END) AS feature FROM c""")
+def feat_is_english(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    c = docs.select("doc_id", F.when(F.col("lang") == "en", "english").otherwise(F.col("lang")).alias("name"), F.when(F.col("doc_id") % 2 == 0, "eng").otherwise(F.col("source")).alias("code")).distinct()
+    s = Settings(features=frozenset(["GL-is-english", "GL-possible-english-word"]))
+    return features.name_features(c, spark.createDataFrame([], "name string, code string"), spark.createDataFrame([("english",)], "word string"), s)
 
 
 # --- instances, scores, annotation -----------------------------------------------------------------------------------
@@ -340,11 +363,9 @@ def _instances(spark: SparkSession, d: str) -> DataFrame:
     m = V.event_mentions(e)
     facts = features.document_facts(e, m)
     base = V.event_spans(e).select("doc_id", "span_ord").join(instances.candidates_of(m), "doc_id")
-    per_doc = features.document_features(m, facts, _S)
-    flat = base.select(*_KEYS).join(per_doc, ["doc_id", "name", "code"]).select(*_KEYS, "feature").unionByName(features.window_features(V.event_spans(e), m, facts, _S))
-    feats = flat.groupBy(*_KEYS).agg(F.array_sort(F.collect_set("feature")).alias("feats"))
     label = F.col("name") == F.when(F.col("span_ord") % 2 == 0, "view").otherwise("click")
-    return base.join(feats, _KEYS, "left").select(*_KEYS, "cand_ord", label.alias("label"), F.coalesce("feats", F.array().cast("array<string>")).alias("feats"))
+    parts = [(features.document_features(m, facts, _S), ["doc_id"]), (features.window_features(V.event_spans(e), m, facts, _S), ["doc_id", "span_ord"])]
+    return instances.with_features(base, parts).select(*_KEYS, "cand_ord", label.alias("label"), "feats")
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
@@ -374,6 +395,36 @@ def annotate_carry_forward(spark: SparkSession, d: str) -> DataFrame:
     return scoring.carry_forward(e, said, ["doc_id"]).select("doc_id", "lineno", "name", "code")
 
 
+@query(_INST + """SELECT doc_id, 'd' || doc_id || '-s' || span_ord || '-' || span_ord || '-' || replace(name, ' ', '_') || '-' || code || ': ' || coalesce((SELECT string_agg(feature, ', ' ORDER BY feature) FROM fl WHERE fl.doc_id = i.doc_id AND fl.span_ord = i.span_ord AND fl.name = i.name AND fl.code = i.code), '') AS value
+FROM inst i""")
+def instance_vectors(spark: SparkSession, d: str) -> DataFrame:
+    ids = {"span_id": F.concat(F.lit("s"), "span_ord"), "lineno": F.col("span_ord"), "own": F.col("doc_id"), "doc_id": F.concat(F.lit("d"), "doc_id")}
+    return instances.vectors(_instances(spark, d).withColumns(ids)).select(F.expr("cast(substring(doc_id, 2) AS bigint)").alias("doc_id"), "value")
+
+
+@query(f"SELECT * FROM (VALUES {', '.join(map(str, _WEIGHTS))}) t(feature, weight)")
+def weights_list(spark: SparkSession, d: str) -> DataFrame:
+    return learn.weights(learn.Model(dict(_WEIGHTS)), spark)
+
+
+@query(f"WITH {LINES} SELECT doc_id, 'd' || doc_id || '.txt' AS file, lineno, CASE WHEN lineno % 3 = 1 THEN 'L' ELSE 'G+CR' END AS tag, text FROM lines")
+def annotated_render_and_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Documents rendered as annotated text, one value each, and read back."""
+    i = F.col("lineno").cast("string")
+    tag = F.when(F.col("lineno") % 3 == 1, "L").otherwise("G+CR")
+    rows = V.lines(spark, d).select(
+        F.concat(F.lit("d"), "doc_id", F.lit(".txt")).alias("file"), F.lit(0).alias("block_ord"), "lineno", "text", F.concat(F.lit("doc_id="), "doc_id", F.lit(" page=1 block_id=1-1 bbox=1.0,2.0,3.0,4.0 label=tb 1 9")).alias("block_head"),
+        F.concat(F.lit("line="), i, F.lit(" tag="), tag, F.lit(" fonts=F1-9.0 bbox=1.0,-2.5,3.0,4.0 iscore=0.25 ")).alias("head"))
+    return annotated.parse_files(annotated.render(rows)).select(F.col("doc_id").cast("long").alias("doc_id"), "file", "lineno", "tag", "text")
+
+
+@query("""SELECT doc_id, coalesce(CASE WHEN doc_id % 5 > 0 THEN lower(lang || ' (x)') END, '???') AS gold_name, coalesce(CASE WHEN doc_id % 7 > 0 THEN source END, 'und') AS gold_code FROM documents""")
+def gold_labels(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "documents").select(
+        "doc_id", F.lit("s1").alias("span_id"), F.lit(1).alias("span_ord"), F.lit(1).alias("lineno"), F.when(F.col("doc_id") % 5 > 0, F.concat("lang", F.lit(" (x)"))).alias("lang_name"), F.when(F.col("doc_id") % 7 > 0, F.col("source")).alias("lang_code"))
+    return instances.gold(own).select("doc_id", "gold_name", "gold_code")
+
+
 # --- evaluation ------------------------------------------------------------------------------------------------------
 
 _EVAL = """WITH c AS (SELECT doc_id, lang AS gold_name, source AS gold_code, CASE WHEN doc_id % 11 <> 0 THEN CASE WHEN doc_id % 5 = 0 THEN 'en' ELSE lang END END AS name,

@@ -236,3 +236,36 @@ def test_download_skips_what_fails(tmp_path):
         raise TimeoutError("late")
 
     assert resources.download_web_models(str(tmp_path / "i.csv"), "http://example.org/", str(tmp_path / "o"), fetch=fetch) == [("aa", "skipped: late")]
+
+
+def test_commands_print_their_results(spark, docs, gazetteer, tmp_path, capsys, monkeypatch):
+    from quillspan import cli
+
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    resources.write_gazetteer(gazetteer, str(tmp_path / "g"))
+    learn.save(learn.Model({"W-prev": 0.5, "L-in-line": -1.0, learn.BIAS: 0.25}), spark, str(tmp_path / "m"))
+    (tmp_path / "c.ini").write_text(f"[locations]\nlanguage-table = {tmp_path}/g\n[features]\nW-prev = yes\nW-close = yes\n")
+    run = lambda *a: (cli.main([a[0], str(tmp_path / "c.ini"), *a[1:]]), capsys.readouterr().out.splitlines())[1]
+    one = str(docs / "d1.txt")
+    assert run("list-mentions", one) == ["\t".join(map(str, m)) for m in MENTIONS]
+    assert run("count-mentions", one) == ["norse: 3", "zulu: 3", "dine: 2", "old norse: 1", "tukisano: 1"]
+    assert "zulu\tzul" in run("find-common-codes", one)
+    assert run("list-model-weights", "--model", str(tmp_path / "m")) == ["W-prev\t0.5", "(bias)\t0.25", "L-in-line\t-1.0", "W-close"]
+
+
+def test_models_are_read_from_files(spark, gazetteer, tmp_path):
+    resources.write_gazetteer(gazetteer, str(tmp_path / "g"))
+    lm, web = tmp_path / "lm", tmp_path / "web"
+    lm.mkdir()
+    (web / "zul_dir").mkdir(parents=True)
+    (lm / "non_old norse.char").write_text("<ab\t3\nb\t1\n", encoding="utf-8")
+    (lm / "non_old norse.word").write_text("ka ta\t2\n", encoding="utf-8")
+    (lm / "zul.morph").write_text("ka\t2\n", encoding="utf-8")
+    (lm / "zul_unknown name.word").write_text("no\t2\n", encoding="utf-8")
+    (web / "zul_dir/zul-chartrigrams.txt").write_text("<um 12\nbad\n", encoding="utf-8")
+    (web / "zul_dir/zul-words.txt").write_text("umuntu 3\n", encoding="utf-8")
+    (tmp_path / "i.csv").write_text("name,iso,dir\nZulu,zul,zul_dir\n", encoding="utf-8")
+    w = Workbench(spark, Settings(), {"language-table": str(tmp_path / "g"), "own-language-model": str(lm), "far-language-model": str(web), "far-directory-index": str(tmp_path / "i.csv")})
+    got = {tuple(r) for r in w.models().collect()}
+    assert got == {("field", "character", "old norse", "non", 3, "<ab"), ("field", "character", "old norse", "non", 1, "b"), ("field", "word", "old norse", "non", 2, "ka ta"), ("field", "morpheme", None, "zul", 1, "ka"),
+                   ("web", "character", "zulu", "zul", 3, "<um"), ("web", "word", "zulu", "zul", 1, "umuntu")}
