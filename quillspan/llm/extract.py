@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -42,13 +43,22 @@ P_ENDS = BLOCK - {"option", "legend", "summary"}
 SPLIT = re.compile(r"[^a-z]+")
 
 
-def marks(value: str) -> set[str]:
-    """Marked words of those tokens of a class, id or role that consist of them and words that may stand beside them."""
+#: Elements that are text themselves: a mark among other words (``share price``) says nothing about them.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+
+
+def marks(value: str, whole: bool = False) -> set[str]:
+    """Marked words of those tokens of a class, id or role that consist of them and words that may stand beside them.
+
+    If ``whole``, there are none unless all tokens are such.
+    """
     out: set[str] = set()
     for token in value.lower().split():
         parts = {x for x in SPLIT.split(token) if len(x) > 1}
         if parts & MARKED and parts <= MARKED | BESIDE:
             out |= parts & MARKED
+        elif whole:
+            return set()
     return out
 
 
@@ -62,6 +72,7 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.raw: list[tuple[list[tuple[str, tuple[int, ...]]], int, int]] = []
         self.open: list[tuple[str, bool, bool]] = []  # name, does it hide its content, is it marked
+        self.count: Counter[str] = Counter()  # open elements by name: what is not open need not be looked for
         self.hidden = 0
         self.marked: tuple[int, ...] = ()  # open marked elements
         self.inside: list[bool] = []  # of each marked element: is it sure to hide its content
@@ -103,6 +114,7 @@ class Lines(HTMLParser):
 
     def pop(self, at: int) -> None:
         for name, hides, marked in self.open[at:]:
+            self.count[name] -= 1
             self.hidden -= hides
             if marked:
                 self.marked = self.marked[:-1]
@@ -130,10 +142,11 @@ class Lines(HTMLParser):
                 if k == "hidden" or (k == "aria-hidden" and v == "true"):
                     hides = True
                 elif v and k in ("class", "id", "role"):
-                    found |= marks(v)
+                    found |= marks(v, tag in PROSE)
             if tag in LAYOUT:
                 found &= {"comment", "comments", "teaser", "related"}
         self.open.append((tag, hides, bool(found)))
+        self.count[tag] += 1
         self.hidden += hides
         if tag in ("article", "main"):
             self.kinds.append(tag)
@@ -148,6 +161,8 @@ class Lines(HTMLParser):
             self.inside.append(bool(self.regions) or bool(found & READERS))
 
     def close_implied(self, tag: str, within: tuple[str, ...]) -> None:
+        if not self.count[tag]:
+            return
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
                 self.pop(i)
@@ -162,6 +177,8 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCK:
             self.flush()
+        if not self.count[tag]:
+            return
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
                 self.pop(i)
@@ -190,6 +207,8 @@ def main_text(html: str | None) -> str:
     """The article's lines joined by a newline; the empty string if there are none."""
     p = Lines()
     p.feed(html or "")
+    if p.rawdata.startswith("<!--"):  # a comment without an end goes on to the end of the page
+        p.rawdata = ""
     p.close()
     p.flush()
     lines = p.lines()

@@ -59,3 +59,22 @@ def test_the_scores_choose_the_region():
     got = main_text(f"<div id='content'>{LONG}</div><ul>{'<li><a>x</a></li>' * 30}</ul>{card}").split("\n")
     assert [x for x in got if len(x) > 20] == want and "see this" not in got
     assert main_text(f"<article>{LONG}</article><ul>{'<li><a>x</a></li>' * 30}</ul>{card}").split("\n") == want
+
+
+def test_marks_among_other_words_and_open_comments():
+    page = "<article><p>one two three four</p>{}<p>five six seven eight</p></article>"
+    assert "up by two" in main_text(page.format('<p class="share price">up by two</p>'))
+    assert "sign here" not in main_text(page.format('<p class="newsletter">sign here</p>'))
+    assert main_text("<p>a text</p><!--<p>b") == "a text"
+
+
+def test_broken_markup_takes_linear_time():
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        main_text("<article>" + "<b>x</i>" * n + "<p>y</em>" * n + "</article>")
+        return time.process_time() - began
+
+    seconds(500)
+    assert seconds(16_000) < 12 * max(seconds(4_000), 0.02)
