@@ -1,5 +1,6 @@
 import hashlib
 import math
+import re
 import textwrap
 
 import pytest
@@ -103,3 +104,23 @@ def test_all_tied_templates_are_compared():
     for x in names:
         text = f"This licence of the {x} family lets everyone copy the work and change the work"
         assert [r[2] for r in Scanner(family).scan(text)] == [x] and Scanner(family).best(text)[0] == x
+
+
+def test_every_exact_wording_in_a_table_is_confirmed_where_it_stands(spark):
+    """All documents of a table are searched for each template's words, one after another, without the scanner."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    found = {}
+    for r in scan_licences(docs).where("confirmed").collect():
+        found.setdefault(r.doc_id, []).append((r.start, r.start + r.length, r.licence))
+    planted = 0
+    for r in docs.select("doc_id", "text").collect():
+        low = (r.text or "").lower()
+        spots = [(m.start(), m.end(), name) for name, t in TEMPLATES for m in re.finditer(re.escape(t.lower()), low)]
+        spots = [s for s in spots if not any(o != s and o[0] <= s[0] and s[1] <= o[1] for o in spots)]
+        planted += len(spots)
+        for start, stop, name in spots:
+            assert any(a < stop and b > start and licence == name for a, b, licence in found.get(r.doc_id, [])), (r.doc_id, name)
+        for a, b, licence in found.get(r.doc_id, []):  # what is confirmed names its licence in words that stand there
+            assert low[a:b].strip() and any(name == licence for name, _ in TEMPLATES)
+    assert planted > 20
