@@ -217,6 +217,8 @@ def simhash_components(docs: DataFrame, size: int = 3, radius: int = 2, text: st
 
 #: Lanes of 64 bits of a wide fingerprint, and the share of pairs at the wanted similarity that keys may miss.
 LANES, MISSED = 8, 0.02
+#: Fingerprints of a bucket above which it is hot, and of how many fingerprints one is counted to tell (balance only).
+HOT, COUNTED = 4096, 16
 
 
 def wide_fingerprint(h: np.ndarray) -> bytes:
@@ -404,7 +406,8 @@ def near_duplicate_groups(docs: DataFrame, size: int = 5, similarity: float = 0.
     of them, and there are as many keys as leave ``MISSED`` of the pairs at the wanted similarity unmet. ``k`` follows
     the number of distinct fingerprints (buckets of some 32), so recall is the same at every size. Pairs of a bucket
     are candidates if their distance is at most the expected share of bits plus ``slack`` (three standard deviations);
-    only exact similarities link them.
+    only exact similarities link them. A bucket of more than some ``HOT`` fingerprints goes to no task as a whole: all
+    of it is one group of candidates, each member tied to the smallest by an aggregate and a join that AQE can split.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t")).withColumn("text_key", F.xxhash64(F.coalesce("t", F.lit(b""))))
@@ -452,8 +455,17 @@ def near_duplicate_groups(docs: DataFrame, size: int = 5, similarity: float = 0.
             yield pa.RecordBatch.from_arrays([pa.array(rep[at]), pa.array(rep[low[at]])], names=["a", "b"])
 
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * tables // 500_000))
-    dealt = nodes.select("fp", F.col("node").alias("rep")).mapInArrow(keys, "key long, fp binary, rep long").repartition(tasks, "key").sortWithinPartitions("key")
-    candidates = connected_components(dealt.mapInArrow(run, "a long, b long"))
+    keyed = lambda df: df.select("fp", F.col("node").alias("rep")).mapInArrow(keys, "key long, fp binary, rep long")
+    counted = keyed(nodes.where(f"pmod(xxhash64(node), {COUNTED}) = 0")).groupBy("key").agg(F.count("*").alias("m"))
+    hot = materialize(counted.where(f"m > {HOT / COUNTED}").select("key"), "hot")
+    buckets, ties = keyed(nodes), None
+    if not hot.isEmpty():
+        tied = buckets.join(hot, "key", "left_semi").select("key", "rep")
+        low = materialize(tied.groupBy("key").agg(F.min("rep").alias("b")), "smallest")
+        ties = tied.join(low, "key").select(F.col("rep").alias("a"), "b")
+        buckets = buckets.join(hot, "key", "left_anti")
+    dealt = buckets.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    candidates = connected_components(dealt if ties is None else dealt.unionByName(ties))
     cc = verified_components(docs, nodes, candidates, size, similarity)
     label = nodes.join(cc.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", F.coalesce("component", "node").alias("group"), "first")
     label = materialize(label, "groups")

@@ -116,6 +116,22 @@ def test_near_duplicates_are_linked_by_exact_similarity_only(spark, monkeypatch,
     assert len({d for d, _ in wrong}) <= 2  # the keys may miss a pair at 0.8
 
 
+def test_hot_buckets_lose_and_add_no_link(spark, monkeypatch):
+    monkeypatch.setattr(simhash_module, "HOT", 16)
+    monkeypatch.setattr(simhash_module, "COUNTED", 2)
+    monkeypatch.setattr(simhash_module, "PIECE", 32)
+    written = []
+    keep = simhash_module.materialize
+    monkeypatch.setattr(simhash_module, "materialize", lambda df, name: written.append((name, keep(df, name))) or written[-1][1])
+    rnd = random.Random(5)
+    rows = list(enumerate([*near_copies(rnd, 150, 120, [1, 2, 3]), *near_copies(rnd, 80, 120, [6, 25, 40]), *(next(near_copies(rnd, 1, 90, [1])) for _ in range(40)), None, ""]))
+    got = dict(map(tuple, near_duplicate_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert next(df for name, df in written if name == "hot").count() > 0
+    want = dict(exact_groups(rows))
+    assert all(want[got[d]] == want[d] for d, _ in rows)  # nothing under the similarity is linked
+    assert sum(got[d] != want[d] for d, _ in rows) <= 2  # the keys may miss a pair at 0.8
+
+
 def test_the_stage_keeps_one_row_of_each_group(spark, tmp_path):
     rnd = random.Random(8)
     a, b, c = (list(near_copies(rnd, 2, 150, [3])) for _ in range(3))
