@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column
@@ -120,9 +121,17 @@ def character_ngrams(text: Column, low: int, high: int, lhs: str = "<", rhs: str
     return F.flatten(F.transform(words(text), of))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)``, with the value worked out once a row: within a lambda an expression is worked out for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _runs(units: Column, n: int) -> Column:
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(units) - (n - 1)))
-    return F.transform(starts, lambda i: F.slice(units, i, n))
+    def of(u: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(u) - (n - 1)))
+        return F.transform(starts, lambda i: F.slice(u, i, n))
+
+    return bound(units, of)
 
 
 def word_ngrams(text: Column, n: int, lhs: str = "\\n", rhs: str = "\\n") -> Column:
@@ -137,6 +146,9 @@ def morpheme_ngrams(text: Column, n: int, splitter: str = r"[\s\-\=\+]+", lhs: s
 
 def contiguous(items: Column, longest: int) -> Column:
     """All contiguous sublists of up to ``longest`` items, as structs (pos, n, items), pos from 1."""
-    by_start = F.transform(F.sequence(F.lit(1), F.size(items)), lambda p: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(longest), F.size(items) - p + 1)), lambda n: F.struct(p.alias("pos"), n.alias("n"), F.slice(items, p, n).alias("items"))))
-    return F.when(F.size(items) > 0, F.flatten(by_start)).otherwise(F.expr("array()").cast("array<struct<pos:int,n:int,items:array<string>>>"))
+    def of(items: Column) -> Column:
+        by_start = F.transform(F.sequence(F.lit(1), F.size(items)), lambda p: F.transform(
+            F.sequence(F.lit(1), F.least(F.lit(longest), F.size(items) - p + 1)), lambda n: F.struct(p.alias("pos"), n.alias("n"), F.slice(items, p, n).alias("items"))))
+        return F.when(F.size(items) > 0, F.flatten(by_start)).otherwise(F.expr("array()").cast("array<struct<pos:int,n:int,items:array<string>>>"))
+
+    return bound(items, of)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import character_ngrams, morpheme_ngrams, word_ngrams, words
+from ..functions.text import bound, character_ngrams, morpheme_ngrams, word_ngrams, words
 
 STEPS = [f"{i / 10:.1f}" for i in range(1, 11)]
 
@@ -23,8 +23,12 @@ def _counted(text: Column, kind: str, n: int, splitter: str) -> Column:
     if kind == "character":
         return character_ngrams(text, n, n)
     units = words(F.lower(text)) if kind == "word" else F.split(F.lower(text), splitter, -1)
-    starts = F.when(F.size(units) >= n, F.sequence(F.lit(1), F.size(units) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(units, i, n), " "))
+
+    def of(u: Column) -> Column:
+        starts = F.when(F.size(u) >= n, F.sequence(F.lit(1), F.size(u) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(u, i, n), " "))
+
+    return bound(units, of)
 
 
 def build_models(examples: DataFrame, nc: int = 3, nw: int = 2, splitter: str = r"[\s\-\=\+]+") -> DataFrame:
@@ -45,15 +49,17 @@ def model_sizes(models: DataFrame) -> DataFrame:
     return models.groupBy("name", "code").agg(F.count_distinct("gram").alias("grams"))
 
 
-def line_grams(lines: DataFrame, kind: str, n: int, splitter: str = r"[\s\-\=\+]+", trim: bool = True, text: str = "text") -> DataFrame:
-    """The columns of ``lines`` but the text, and ``gram``: one row for each gram of each line, repeats included.
-
-    ``trim`` drops the first and the last gram of a line.
-    """
-    grams = _grams(F.col(text), kind, n, splitter)
+def grams_of(text: Column, kind: str, n: int, splitter: str = r"[\s\-\=\+]+", trim: bool = True) -> Column:
+    """The grams of a line, repeats included; ``trim`` drops the first and the last."""
+    grams = _grams(text, kind, n, splitter)
     if trim:
-        grams = F.when(F.size(grams) > 2, F.slice(grams, F.lit(2), F.size(grams) - 2)).otherwise(F.array().cast("array<string>"))
-    return lines.select(*[c for c in lines.columns if c != text], F.explode(grams).alias("gram"))
+        grams = bound(grams, lambda g: F.when(F.size(g) > 2, F.slice(g, F.lit(2), F.size(g) - 2)).otherwise(F.array().cast("array<string>")))
+    return grams
+
+
+def line_grams(lines: DataFrame, kind: str, n: int, splitter: str = r"[\s\-\=\+]+", trim: bool = True, text: str = "text") -> DataFrame:
+    """The columns of ``lines`` but the text, and ``gram``: one row for each gram of each line, repeats included."""
+    return lines.select(*[c for c in lines.columns if c != text], F.explode(grams_of(F.col(text), kind, n, splitter, trim)).alias("gram"))
 
 
 def coverage(lines: DataFrame, candidates: DataFrame, models: DataFrame, kind: str, n: int, splitter: str = r"[\s\-\=\+]+", trim: bool = True) -> DataFrame:
@@ -64,7 +70,8 @@ def coverage(lines: DataFrame, candidates: DataFrame, models: DataFrame, kind: s
     candidates, and models are pruned to candidates (left semi) before they meet the grams.
     """
     grams = line_grams(lines.select("doc_id", "lineno", "text"), kind, n, splitter, trim).groupBy("doc_id", "lineno", "gram").agg(F.count("*").alias("k"))
-    totals = grams.groupBy("doc_id", "lineno").agg(F.sum("k").alias("total"))
+    size = F.greatest(F.size(grams_of(F.col("text"), kind, n, splitter, trim)), F.lit(0))  # a row for each line, not for each gram
+    totals = lines.select("doc_id", "lineno", size.alias("k")).groupBy("doc_id", "lineno").agg(F.sum("k").alias("total")).where("total > 0")
     own = models.select("name", "code", "gram").join(candidates.select("name", "code").distinct(), ["name", "code"], "left_semi").distinct()
     modelled = candidates.join(own.select("name", "code").distinct(), ["name", "code"], "left_semi")
     # grams meet the models by gram first: most grams of a line are in few models, and candidates only narrow that down

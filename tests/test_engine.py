@@ -131,6 +131,19 @@ def test_coverage_trims_and_counts_repeats(spark):
     assert sorted(r.feature for r in models.thresholds(got, "f").collect()) == [f"f>0.{i}" for i in range(1, 7)]
 
 
+@pytest.mark.parametrize("kind,n,trim", [("word", 1, True), ("word", 2, False), ("morpheme", 2, False)])
+def test_a_line_is_cut_into_units_once_and_not_for_each_gram(spark, kind, n, trim):
+    ln = spark.createDataFrame([("d", 1, "a b c")], "doc_id string, lineno int, text string")
+    for df in (models.line_grams(ln, kind, n, trim=trim), ln.select(models._counted(F.col("text"), kind, n, r"[\s\-\=\+]+").alias("g"))):
+        assert df._jdf.queryExecution().analyzed().toString().count("split(") == 1
+    cand = spark.createDataFrame([("d", "a", "x")], "doc_id string, name string, code string")
+    lm = spark.createDataFrame([("a", "x", "b" if n == 1 else "b c")], "name string, code string, gram string")
+    odd = ln.union(spark.createDataFrame([("d", 2, " "), ("d", 3, "b")], ln.schema))
+    got = sorted(tuple(r)[1:] for r in models.coverage(odd, cand, lm, kind, n, trim=trim).collect())
+    want = {"word1": [(1, "a", "x", 1, 3), (3, "a", "x", 1, 1)], "word2": [(1, "a", "x", 1, 4), (2, "a", "x", 0, 1), (3, "a", "x", 0, 2)], "morpheme2": [(1, "a", "x", 1, 4), (2, "a", "x", 0, 3), (3, "a", "x", 0, 2)]}
+    assert got == want[f"{kind}{n}"]
+
+
 def test_models_from_an_xml_collection(spark, tmp_path):
     item = lambda tag, t: f'<item id="i" tag="{tag}">{t}</item>'
     (tmp_path / "set-zul.xml").write_text(
