@@ -3,7 +3,8 @@
 Lines are paired with the next line of their block; the joined text is cut into tokens, one row each, whose keys are
 computed in generated code and meet the words of the names by equality. Only known words go on: a run of them is told
 by its consecutive positions, its parts are built in a bounded window and meet the names by equality. The gazetteer is
-a table like any other, of any size. All windows lie within a document, so the one shuffle is that by document.
+a table like any other, of any size. All windows lie within a document, so the one shuffle is that by document, into as
+many tasks as the lines fill: a token's row is some fifty times its text, and what a task sorts has to fit its memory.
 """
 
 from __future__ import annotations
@@ -14,6 +15,16 @@ from pyspark.sql import functions as F
 from ..functions.text import core, strip_accents
 
 TRIMMED = " -"
+#: Bytes of lines (as the plan estimates them) to a task; its sorted rows of tokens come to some 200 MB.
+TASK_BYTES = 2 << 20
+
+
+def dealt(lines: DataFrame) -> DataFrame:
+    """The lines by document, in a number of tasks that grows with their size and that no later step lowers."""
+    size = int(str(lines._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 50:  # unknown
+        return lines.repartition("doc_id")
+    return lines.repartition(max(lines.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES)), "doc_id")
 
 
 def paired_lines(lines: DataFrame) -> DataFrame:
@@ -50,7 +61,7 @@ def known_words(lines: DataFrame, gazetteer: DataFrame, longest: int, whole: boo
     the seam), and the token's pos, piece (with the white space before it), from (where the piece begins), start and
     stop of its core, word.
     """
-    pairs = paired_lines(lines.repartition("doc_id"))  # one dealing by document serves all windows
+    pairs = paired_lines(dealt(lines))  # one dealing by document serves all windows
     if not whole:
         near = F.regexp_extract("line2", rf"^[ \-]*(?U)\s*(?:\S+\s+){{0,{longest}}}\S*", 0)
         pairs = _joined(pairs.withColumn("size2", F.length("line2")).withColumn("line2", near))
@@ -65,14 +76,16 @@ def known_words(lines: DataFrame, gazetteer: DataFrame, longest: int, whole: boo
         F.regexp_extract_all("joined", F.lit(r"(?U)\s*\S+"), F.lit(0)).alias("pieces"))
     pairs = pairs.select(*pairs.columns[:-1], F.posexplode("pieces").alias("pos", "piece"))
     upto = F.sum(F.length("piece")).over(Window.partitionBy("doc_id", "block_id", "lineno").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    raw = F.regexp_extract("piece", r"(?U)\S+", 0)
-    tok = pairs.withColumn("key", token_key(raw, case_sensitive)).withColumn("upto", upto.cast("int"))
+    # a piece that has a printable ASCII character after its blanks needs no search; a column, as its users name it often
+    bare = F.ltrim("piece", F.lit(" "))
+    pairs = pairs.withColumn("raw", F.when((bare >= "!") & (bare < "\x7f"), bare).otherwise(F.regexp_extract("piece", r"(?U)\S+", 0)))
+    tok = pairs.withColumn("key", token_key(F.col("raw"), case_sensitive)).withColumn("upto", upto.cast("int"))
     vocabulary = gazetteer.select(F.explode(F.split("name", " ")).alias("word")).distinct()
     hyphen = F.when(F.col("key").contains("-"), F.replace("key", F.lit("-"), F.lit("")))
     tok = tok.withColumn("bare", hyphen).join(vocabulary.withColumnRenamed("word", "v"), F.col("key") == F.col("v"), "left")
     # the bare form is looked up only where the key is no word itself
     tok = tok.join(vocabulary.withColumnRenamed("word", "u"), F.when(F.col("v").isNull(), F.col("bare")) == F.col("u"), "left")
-    tok = tok.withColumn("word", F.coalesce("v", "u")).where("word is not null").drop("v", "u", "bare", "key").withColumn("raw", raw).withColumn("own", core(F.col("raw")))
+    tok = tok.withColumn("word", F.coalesce("v", "u")).where("word is not null").drop("v", "u", "bare", "key").withColumn("own", core(F.col("raw")))
     start = F.col("upto") - F.length("raw") + F.position(F.col("own"), F.col("raw")) - 1
     return tok.select("*", (F.col("upto") - F.length("piece")).alias("from"), start.alias("start"), (start + F.length("own")).alias("stop")).drop("upto", "raw", "own")
 

@@ -1,3 +1,4 @@
+import re
 import unicodedata
 
 import pytest
@@ -73,6 +74,30 @@ def test_a_large_gazetteer_is_a_table_not_a_plan(spark, lines, gazetteer):
     assert "name199999" not in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_tasks_of_mentions_grow_with_the_lines(spark, lines, gazetteer, monkeypatch, tmp_path):
+    from quillspan.operators import mentions as M
+    from quillspan.plans.queries import QUERIES
+
+    monkeypatch.setattr(M, "TASK_BYTES", 64, raising=False)
+    lines.write.parquet(str(tmp_path / "l"))
+    found = mentions(spark.read.parquet(str(tmp_path / "l")), gazetteer)
+    dealt = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "RepartitionByExpression" in x]
+    assert len(dealt) == 1 and int(dealt[0].rsplit(",", 1)[1].strip(" ]")) > 8  # no later step lowers a number that is given
+    assert [tuple(r)[2:] for r in found.orderBy("ord").collect()] == MENTIONS
+    spark.createDataFrame([(1, "en", "a b\nOf ab"), (2, "en", "ab")], "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "ab of x")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    parts = QUERIES["mention_offsets"](spark, str(tmp_path))
+    assert sorted(map(tuple, parts.collect())) == [(1, 1, "ab", True), (2, 1, "ab", True)]
+    met = [x for x in parts._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x][0]
+    assert "doc_id" in met and not re.search(r"startline#\d+L? = ", met)  # mentions are not dealt a second time
+
+
+def test_tokens_after_odd_blanks(spark, gazetteer):
+    ln = spark.createDataFrame([("d", "b", 1, "\u00a0Zulu \u3000 Zulu\x1f \u00abZulu\u00bb \x01Zulu")], "doc_id string, block_id string, lineno int, text string")
+    got = sorted({(r.startcol, r.endcol, r.text) for r in mentions(ln, gazetteer).collect()})
+    assert got == [(1, 5, "Zulu"), (8, 12, "Zulu"), (15, 19, "Zulu"), (22, 26, "Zulu")]
+
+
 def test_counts_count_codes_once(lines, gazetteer):
     assert {r.name: r.n for r in count_mentions(mentions(lines, gazetteer), gazetteer).collect()} == {"old norse": 1, "norse": 3, "zulu": 3, "tukisano": 1, "dine": 2}
 
