@@ -194,6 +194,22 @@ def test_scores_best_and_carry_forward(spark):
     assert [r.name for r in scoring.carry_forward(ln, said, ["doc_id", "span_ord"]).orderBy("lineno").collect()] == [None, "a", "a", "b"]
 
 
+def test_scores_work_out_instances_once(spark):
+    rows = spark.createDataFrame([("d", ["f", "f2", "x"]), ("e", []), ("f", None), ("d", ["f"])], "doc_id string, feats array<string>")
+    w = spark.createDataFrame([("f", 1.0), ("f", 1.0), ("f2", -1.0), (None, 9.0)], "feature string, weight double")
+    s = scoring.score(rows, w, 0.0, ["doc_id"])
+    assert sorted((r.doc_id, round(r.p, 4)) for r in s.collect()) == [("d", 0.7311), ("d", 0.8808), ("e", 0.5), ("f", 0.5)]
+    assert s.columns == ["doc_id", "feats", "p"] and "Generate" not in s._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.p for r in scoring.score(rows, w.where("false"), 0.0, ["doc_id"]).collect()] == [0.5] * 4
+
+
+def test_unused_features_meet_each_used_one_once(spark):
+    used = spark.range(1000).select(F.lit("a").alias("feature"))
+    out = learn.unused_features(spark, ("a", "b"), used)
+    assert [r.feature for r in out.collect()] == ["b"]
+    assert "Aggregate" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_training_penalises_the_bias_too(spark):
     rows = spark.createDataFrame([(["f"], True), (["f"], True), ([], False), (["g"], False)], "feats array<string>, label boolean")
     m = learn.train(rows)
