@@ -68,7 +68,7 @@ def weights(model: Model, spark: SparkSession) -> DataFrame:
 
 def unused_features(spark: SparkSession, switches: tuple[str, ...], used: DataFrame) -> DataFrame:
     """Switches that no feature of a model answers to."""
-    return spark.createDataFrame([(f,) for f in switches], "feature string").join(used, "feature", "left_anti")
+    return spark.createDataFrame([(f,) for f in switches], "feature string").join(used.select("feature").distinct(), "feature", "left_anti")  # a few hundred names; rows of one would meet in one task
 
 
 def save(model: Model, spark: SparkSession, path: str) -> None:
