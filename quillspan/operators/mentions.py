@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from ..functions.text import core, strip_accents
 
 TRIMMED = " -"
-#: Bytes of lines (as the plan estimates them) to a task; its sorted rows of tokens come to some 200 MB.
-TASK_BYTES = 2 << 20
+#: Bytes of lines (as the plan estimates them) to a task; what it sorts has to fit its memory or goes to disk.
+TASK_BYTES = 1 << 20
+#: Names of up to so many words look ahead word by word, which is cheaper than a list for each word.
+LEADS = 8
 
 
 def dealt(lines: DataFrame) -> DataFrame:
@@ -102,7 +104,8 @@ def mentions(lines: DataFrame, gazetteer: DataFrame, single: bool = False, case_
     words = known_words(lines, gazetteer, longest, single, case_sensitive)
     line = ["doc_id", "block_id", "lineno"]
     w = Window.partitionBy(*line).orderBy("pos")
-    ahead = F.collect_list(F.struct("pos", "word", "piece", "stop")).over(w.rowsBetween(0, longest - 1)) if longest > 1 else F.array(F.struct("pos", "word", "piece", "stop"))
+    it = F.struct("pos", "word", "piece", "stop")
+    ahead = F.array(it, *[F.lead(it, k).over(w) for k in range(1, longest)]) if longest <= LEADS else F.collect_list(it).over(w.rowsBetween(0, longest - 1))
     words = words.withColumn("ahead", ahead)
     if single:
         words = words.withColumn("run", F.col("pos") - F.row_number().over(w))

@@ -92,6 +92,22 @@ def test_tasks_of_mentions_grow_with_the_lines(spark, lines, gazetteer, monkeypa
     assert "doc_id" in met and not re.search(r"startline#\d+L? = ", met)  # mentions are not dealt a second time
 
 
+def test_a_task_of_mentions_stays_small(spark, lines, gazetteer, monkeypatch, tmp_path):
+    from quillspan.operators import mentions as M
+
+    lines.write.parquet(str(tmp_path / "l"))
+    ln = spark.read.parquet(str(tmp_path / "l"))
+    ln = ln.crossJoin(spark.range(1 << 14)).drop("id")  # 8 bytes each beside the lines, in the plan's estimate
+    size = int(str(ln._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    assert size > 16 << 20
+    assert M.dealt(ln)._jdf.queryExecution().toRdd().getNumPartitions() == -(-size >> 20)  # a task for each MB
+    short = mentions(lines, gazetteer)
+    assert "collect_list" not in short._jdf.queryExecution().optimizedPlan().toString()  # no list is gathered for each word
+    monkeypatch.setattr(M, "LEADS", 1)
+    long = mentions(lines, gazetteer)
+    assert [tuple(r)[2:] for r in short.orderBy("ord").collect()] == [tuple(r)[2:] for r in long.orderBy("ord").collect()] == MENTIONS
+
+
 def test_tokens_after_odd_blanks(spark, gazetteer):
     ln = spark.createDataFrame([("d", "b", 1, "\u00a0Zulu \u3000 Zulu\x1f \u00abZulu\u00bb \x01Zulu")], "doc_id string, block_id string, lineno int, text string")
     got = sorted({(r.startcol, r.endcol, r.text) for r in mentions(ln, gazetteer).collect()})
