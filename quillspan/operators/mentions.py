@@ -1,20 +1,25 @@
 """Mentions of names with exact line and column positions.
 
-Lines are paired with the next line of their block; the joined text is cut into tokens, one row each, whose keys are
-computed in generated code and meet the words of the names by equality. Only known words go on: a run of them is told
-by its consecutive positions, its parts are built in a bounded window and meet the names by equality. The gazetteer is
-a table like any other, of any size. All windows lie within a document, so the one shuffle is that by document, into as
-many tasks as the lines fill: a token's row is some fifty times its text, and what a task sorts has to fit its memory.
+Lines are paired with the next line of their block. A gazetteer of usual size is held by each Python worker, which walks
+over the tokens of a pair once (``matching``); rows are sorted as lines, never as tokens. A larger one is a table like any
+other, of any size: the joined text is cut into tokens, one row each, whose keys are computed in generated code and meet
+the words of the names by equality. Only known words go on: a run of them is told by its consecutive positions, its parts
+are built in a bounded window and meet the names by equality. Either way lines are shuffled by document once, into as
+many tasks as they fill: a token's row is some fifty times its text, and what a task sorts has to fit its memory.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import core, strip_accents
+from .matching import TRIMMED, finder
 
-TRIMMED = " -"
+#: Names (with their codes) that are held in memory; more meet the tokens by joins.
+HELD = 100_000
 #: Bytes of lines (as the plan estimates them) to a task; what it sorts has to fit its memory or goes to disk.
 TASK_BYTES = 1 << 20
 #: Names of up to so many words look ahead word by word, which is cheaper than a list for each word.
@@ -92,6 +97,37 @@ def known_words(lines: DataFrame, gazetteer: DataFrame, longest: int, whole: boo
     return tok.select("*", (F.col("upto") - F.length("piece")).alias("from"), start.alias("start"), (start + F.length("own")).alias("stop")).drop("upto", "raw", "own")
 
 
+def named(lines: DataFrame, gazetteer: DataFrame, single: bool = False, case_sensitive: bool = False) -> DataFrame:
+    """Mentions with an array of structs ``codes`` in place of a row for each code.
+
+    ``before`` are the document's codes up to here, ``new`` its first mention of the name.
+    """
+    gazetteer = gazetteer.select("name", "code").where("name <> ''").distinct()
+    codes = gazetteer.groupBy("name").agg(F.sort_array(F.collect_set(F.struct("code"))).alias("codes"))
+    held = gazetteer.limit(HELD + 1).collect()
+    if len(held) > HELD:
+        longest = gazetteer.agg(F.max(F.size(F.split("name", " ")))).first()[0]
+        found = met(lines, gazetteer.select("name").distinct(), longest, single, case_sensitive).join(codes, "name")
+        upto = F.sum(F.size("codes")).over(Window.partitionBy("doc_id").orderBy("startline", "pos", "n").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        first = Window.partitionBy("doc_id", "name").orderBy("startline", "pos")
+        return found.withColumns({"before": (upto - F.size("codes")).cast("int"), "new": F.row_number().over(first) == 1}).drop("pos", "n")
+    pairs = paired_lines(dealt(lines)).select("doc_id", "lineno", "lineno2", "line1", "line2").sortWithinPartitions("doc_id", "lineno")
+    of = {f.name: f.dataType.simpleString() for f in pairs.schema}
+    out = f"doc_id {of['doc_id']}, before int, new boolean, startline {of['lineno']}, startcol int, endline {of['lineno']}, endcol int, name string, text string"
+    return pairs.mapInArrow(finder(Counter(r.name for r in held), single, case_sensitive), out).join(F.broadcast(codes), "name")
+
+
+def coded(found: DataFrame) -> DataFrame:
+    """A row for each code of a mention, with its ``code`` and ``ord``."""
+    out = found.select("*", F.posexplode("codes").alias("nth", "each"))
+    return out.withColumns({"ord": F.col("before") + F.col("nth") + 1, "code": F.col("each.code")}).drop("before", "new", "codes", "nth", "each")
+
+
+def candidates(lines: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """``(doc_id, name, code)``: what a document mentions, each once, told from first mentions: nothing is dealt or kept to compare."""
+    return coded(named(lines, gazetteer).where("new")).select("doc_id", "name", "code")
+
+
 def mentions(lines: DataFrame, gazetteer: DataFrame, single: bool = False, case_sensitive: bool = False) -> DataFrame:
     """``(doc_id, ord, startline, startcol, endline, endcol, name, code, text)``.
 
@@ -99,9 +135,12 @@ def mentions(lines: DataFrame, gazetteer: DataFrame, single: bool = False, case_
     name is a mention, or only the longest (the first of equals) if ``single``. There is a row for each code. Columns
     count from 0, the end is exclusive; a mention on the second line alone is left to that line.
     """
-    gazetteer = gazetteer.select("name", "code").where("name <> ''").distinct()
-    longest = gazetteer.agg(F.max(F.size(F.split("name", " ")))).first()[0] or 1
-    words = known_words(lines, gazetteer, longest, single, case_sensitive)
+    return coded(named(lines, gazetteer, single, case_sensitive)).select("doc_id", "ord", "startline", "startcol", "endline", "endcol", "name", "code", "text")
+
+
+def met(lines: DataFrame, names: DataFrame, longest: int, single: bool, case_sensitive: bool) -> DataFrame:
+    """Mentions of names of any number, by joins: a row for each name found, with its place (pos, n) in the paired line."""
+    words = known_words(lines, names, longest, single, case_sensitive)
     line = ["doc_id", "block_id", "lineno"]
     w = Window.partitionBy(*line).orderBy("pos")
     it = F.struct("pos", "word", "piece", "stop")
@@ -116,18 +155,16 @@ def mentions(lines: DataFrame, gazetteer: DataFrame, single: bool = False, case_
     first = F.col("stop") <= F.col("seam")
     over = (F.col("start") < F.col("seam")) & ~first & F.col("both")
     if single:
-        found = found.join(gazetteer.select("name").distinct(), "name", "left_semi")
+        found = found.join(names, "name", "left_semi")
         best = Window.partitionBy(*line, "run").orderBy(F.desc("n"), "pos")
         found = found.withColumn("best", F.row_number().over(best)).where("best = 1")
     found = found.where(first | over).withColumn("over", over)
     # the text between start and stop, with what was cut off at the seam put back
     plain = F.expr("substring(pieces, start - `from` + 1, stop - start)")
     whole = F.concat(F.expr("substring(pieces, start - `from` + 1, seam - start)"), F.col("tail1"), F.col("lead2"), F.expr("substring(pieces, after - `from` + 1, stop - after)"))
-    found = found.select(
+    return found.select(
         "doc_id", F.col("lineno").alias("startline"), F.col("start").alias("startcol"), F.when(F.col("over"), F.col("lineno2")).otherwise(F.col("lineno")).alias("endline"),
         F.when(F.col("over"), F.col("stop") + F.col("shift")).otherwise(F.col("stop")).alias("endcol"), "name", "pos", "n", F.when(F.col("over"), whole).otherwise(plain).alias("text"))
-    order = Window.partitionBy("doc_id").orderBy("startline", "pos", "n", "code")
-    return found.join(gazetteer, "name").select("doc_id", F.row_number().over(order).alias("ord"), "startline", "startcol", "endline", "endcol", "name", "code", "text")
 
 
 def count_mentions(found: DataFrame, gazetteer: DataFrame) -> DataFrame:

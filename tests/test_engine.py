@@ -114,6 +114,45 @@ def test_tokens_after_odd_blanks(spark, gazetteer):
     assert got == [(1, 5, "Zulu"), (8, 12, "Zulu"), (15, 19, "Zulu"), (22, 26, "Zulu")]
 
 
+def test_no_row_for_each_token_is_sorted(spark, lines, gazetteer):
+    plan = mentions(lines, gazetteer)._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[0]
+    assert "pieces" not in plan and "Sort [doc_id" in plan
+    assert plan.count("Window [") == 1  # that which pairs the lines; mentions are numbered where they are found
+
+
+ODD = ["  Of Old Norse, Norse and Zulu of the Old Norse; Tuki-", "sano old - Norse the Zulu\u00e9", "", " - ", "-Old", "Norse- the", "- sano D\u0131n\u00e9 \u01c2dine! Tuki-sano tu-kisano", None, "\u00a0Zulu \u3000 ZULU\x1f \u00abZulu\u00bb \U0001d419ulu \ufb01 \u0301 --", "old", "norse of the", "old  norse\tof the old norse of the", "\u03a3\u0391\u03a3 sa\u0301s O\u2019old norse", "x-"]
+MANY = [("old norse", "b"), ("old norse", "a"), ("norse", "non"), ("old", None), ("old", "o"), ("zulu", "zul"), ("tukisano", "tks"), ("tuki-sano", "tk2"), ("norse of the", "n3"), ("the old", "t2"), ("dine", "nav"), ("\u03c3\u03b1\u03c2", "gr"), ("sas", "s"), ("fi", "f")]
+
+
+@pytest.mark.parametrize("single, case_sensitive", [(False, False), (True, False), (False, True), (True, True)])
+def test_names_held_in_memory_are_found_as_by_joins(spark, monkeypatch, single, case_sensitive):
+    from quillspan.operators import mentions as M
+
+    rows = [(d, b, n, t) for d in (1, 2, None) for b in ("x", "y") for n, t in enumerate(ODD[d or 0:] if b == "y" else ODD[::-1], 100 if b == "y" else 0)]
+    ln = spark.createDataFrame(rows, "doc_id int, block_id string, lineno int, text string")
+    g = spark.createDataFrame(MANY, "name string, code string")
+    held = sorted(map(repr, mentions(ln, g, single, case_sensitive).collect()))
+    told = sorted(map(repr, M.candidates(ln, g).collect()))
+    monkeypatch.setattr(M, "HELD", 3)
+    assert held == sorted(map(repr, mentions(ln, g, single, case_sensitive).collect())) and len(held) > 20
+    assert told == sorted(map(repr, M.candidates(ln, g).collect())) == sorted(map(repr, mentions(ln, g).select("doc_id", "name", "code").distinct().collect()))
+
+
+def test_found_names_leave_in_bounded_batches(spark, monkeypatch):
+    import pyarrow as pa
+
+    from quillspan.operators import matching
+
+    monkeypatch.setattr(matching, "BATCH", 5)
+    monkeypatch.setattr(matching, "KEPT", 2)
+    n = 40
+    b = pa.RecordBatch.from_arrays([pa.array([i // 20 for i in range(n)]), pa.array(range(n)), pa.array([None] * n, pa.int64()), pa.array(["a b c a"] * n), pa.array([None] * n, pa.string())], ["doc_id", "lineno", "lineno2", "line1", "line2"])
+    out = list(matching.finder({"a": 2, "b c": 1}, False, False)(iter([b])))
+    assert max(x.num_rows for x in out) <= 5 + 2 and sum(x.num_rows for x in out) == 3 * n
+    rows = [r for x in out for r in x.to_pylist()]
+    assert [r["before"] for r in rows[:4]] == [0, 2, 3, 5] and rows[60]["before"] == 0 and sum(r["new"] for r in rows) == 4
+
+
 def test_counts_count_codes_once(lines, gazetteer):
     assert {r.name: r.n for r in count_mentions(mentions(lines, gazetteer), gazetteer).collect()} == {"old norse": 1, "norse": 3, "zulu": 3, "tukisano": 1, "dine": 2}
 
